@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["cleaning_queries", "source_queries"]
+MODULES = ["cleaning_queries", "source_queries", "secret_queries"]
 
 QUERIES: dict = {}
 SQL: dict = {}
