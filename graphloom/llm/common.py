@@ -24,6 +24,10 @@ def file_rows(nodes: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def text(v: object) -> str | None:
-    """A value of a string column in a pandas batch, with every kind of null as None."""
-    return v if isinstance(v, str) else None
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores: a few large row groups would leave most idle.
+
+    An input of many splits, as on a large cluster, stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["cleaning_queries", "source_queries", "secret_queries"]
+MODULES = ["cleaning_queries", "source_queries", "secret_queries", "corpus_queries"]
 
 QUERIES: dict = {}
 SQL: dict = {}

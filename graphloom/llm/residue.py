@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import spread
+
 # Placeholders of template languages and forms.
 PLACEHOLDER = re.compile(
     r"""
@@ -243,7 +245,8 @@ def residue_evidence(documents: DataFrame) -> DataFrame:
         return pd.DataFrame(s, columns=["bad", "good", "hollow", "mismatch", "bone"])
 
     slug = F.regexp_extract(F.coalesce("repo_uri", F.lit("")), r"([^/:]+)$", 1)
-    seen = documents.where(F.col("text").isNotNull()).select(
+    texts = spread(documents.where(F.col("text").isNotNull()).select("doc_id", "text", "title", "repo_uri"))
+    seen = texts.select(
         "doc_id", "repo_uri", look("text", "title", slug).alias("f")
     ).select("doc_id", "repo_uri", "f.*")
     bad, good = F.col("bad"), F.col("good")
