@@ -14,7 +14,7 @@ def filled(columns: list[str]) -> Column:
 def merge_nodes(nodes: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per node id: the row with more non-null fields, with the earliest ``indexed_at`` as arrival.
 
-    A tie goes to the row whose JSON form sorts first.  Rows without an id are dropped, because
+    A tie goes to the earlier ``indexed_at``, then to a fixed order of the rows' contents.  Rows without an id are dropped, because
     nothing can refer to them.  ``keep`` prunes the columns that leave (and enter) the exchange.
     """
     keep = keep or nodes.columns
@@ -24,10 +24,10 @@ def merge_nodes(nodes: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "id",
         filled(every).alias("_n"),
         F.xxhash64(*[F.col(f"`{c}`") for c in every]).alias("_h"),
-        *(["indexed_at"] if "indexed_at" in nodes.columns else []),
+        *(["indexed_at", (-F.unix_micros(F.col("indexed_at").cast("timestamp"))).alias("_t")] if "indexed_at" in nodes.columns else []),
         *[F.col(f"`{c}`") for c in kept],
     )
-    aggs = [F.max_by(F.struct(*[F.col(f"`{c}`") for c in kept]), F.struct("_n", "_h")).alias("_row")] if kept else []
+    aggs = [F.max_by(F.struct(*[F.col(f"`{c}`") for c in kept]), F.struct("_n", *(["_t"] if "indexed_at" in nodes.columns else []), "_h")).alias("_row")] if kept else []
     if "indexed_at" in nodes.columns:
         aggs.append(F.min("indexed_at").alias("indexed_at"))
     if not aggs:
