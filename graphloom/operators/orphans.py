@@ -55,12 +55,14 @@ def orphan_references(edges: DataFrame, nodes: DataFrame, external: DataFrame) -
     ext = external.select(F.col("id").alias("key")).where(F.col("key").isNotNull()).distinct()
     bounded = ext.limit(EXTERNAL_BOUND + 1).count() <= EXTERNAL_BOUND
     if bounded:
-        ext = F.broadcast(ext)
+        # references to the outside never enter an exchange, however hot one of them is
+        refs = refs.join(F.broadcast(ext), "key", "left_anti")
 
     keys = refs.groupBy("key").agg(
         F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n_refs")
     )
-    keys = keys.join(ext, "key", "left_anti")
+    if not bounded:
+        keys = keys.join(ext, "key", "left_anti")
     lives = parent_lives(nodes)
     covers = (
         (F.col("k.key") == F.col("p.key"))
