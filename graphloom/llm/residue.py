@@ -16,6 +16,7 @@ weak notice, a mismatched title together with a duplicated skeleton decides.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import spread
+from graphloom.runtime import Staging
 
 # Placeholders of template languages and forms.
 PLACEHOLDER = re.compile(
@@ -116,19 +118,21 @@ EXPLAINS = re.compile(
 
 # Every wording in NOTICE and FILLER holds one of these; the automaton finds them first.
 STEMS = [
-    "found", "exist", "availab", "loaded", "load", "reach", "resolv", "display", "can't", "cannot", "could", "no longer", "moved", "gateway",
-    "bad request", "internal", "forbidden", "unauthori", "offline", "too many", "rate limit", "too long", "time", "expired", "ended", "access",
-    "permission", "rights", "allowed", "permitted", "authori", "sign", "log in", "log-in", "login", "authenticat", "members", "subscri", "script",
-    "cookie", "browser", "robot", "captcha", "unusual", "try ", "again", "retry", "wait", "redirect", "wrong", "occurred", "error", "http", "status",
-    "maintenance", "raised", "null", "undefined", "trace", "template", "request", "incident", "reference", "correlation", "ray ", "clear your", "sorry",
-    "oops", "contact", "ask ", "checking", "verif", "unavailab", "blocked", "publish", "longer", "nicht", "zugriff", "bitte", "vorübergehend", "derzeit",
-    "anmeld", "fehler", "skript", "wartung", "weitergeleitet", "sitzung", "página", "encontr", "denegado", "sesión", "activ", "habilit", "permita",
-    "intént", "intent", "shown", "déplac", "supprim", "movid", "eliminad", "borrad", "traslad", "verschob", "gelöscht", "entfernt", "disponible", "ocurrido", "vuelva", "introuvable", "inexist", "indisponible", "accès", "connectez", "autoris", "réessay",
-    "patienter", "survenue", "expiré", "reject", "returned", "rendered", "restricted", "taken", "needs ", "need ", "go back", "go home", "start",
-    "retour", "zurück", "persist", "continue", "keeps", "exceeded", "may have", "n'existe", "n’existe", "existe", "deactivat", "disabled", "not found",
-    "lorem", "dolor", "consectetur", "eiusmod", "enim", "duis", "excepteur", "nostrud", "reprehenderit", "here", "tbd", "todo", "tba", "n/a", "na",
-    "fixme", "xxx", "replace", "sample", "placeholder", "coming", "construction", "check back", "to be", "blank", "empty", "steht", "platzhalter",
-    "demnächst", "aufbau", "texto", "próximamente", "construcción", "exemple", "bientôt", "insert", "asdf", "qwer", "test", "foo", "bla",
+    # word beginnings, each after a blank
+    " found", " exist", " availab", " unavailab", " load", " reach", " resolv", " display", " can't", " cannot", " could", " no longer", " been moved", " moved permanently", " was moved", " gateway", " bad request",
+    " internal server", " forbidden", " unauthori", " offline", " too many", " rate limit", " too long", " timed", " timeout", " time-out", " has expired", " session", " ended", " access", " permission",
+    " rights", " allowed", " permitted", " authori", " sign ", " sign-", " sign in", " signin", " log in", " log-in", " login", " authenticat", " members", " subscri", " script", " javascript",
+    " cookie", " browser", " robot", " captcha", " unusual", " try again", " try later", " retry", " please wait", " wait ", " redirect", " wrong", " occurred", " error", " http", " status", " maintenance", " raised",
+    " nullref", " undefined", " traceback", " trace:", " stack", " failed", " request", " incident", " reference id", " reference number", " correlation", " ray ", " clear your", " sorry", " oops", " contact", " ask ", " checking",
+    " verif", " was blocked", " published", " hosted", " served", " online", " nicht", " zugriff", " bitte", " vorübergehend", " derzeit", " zurzeit", " anmeld", " fehler", " skript", " wartung", " weitergeleitet",
+    " sitzung", " página", " dirección", " encontr", " no encontr", " denegado", " sesión", " habilit", " permita", " intént", " inténte", " disponible", " ocurrido", " vuelva", " introuvable", " inexist",
+    " indisponible", " accès", " connectez", " autoris", " activez", " réessay", " veuillez", " patienter", " survenue", " expiré", " rejected", " returned a", " rendered", " restricted", " taken", " needs a", " needs ", " go back",
+    " go home", " back to", " retour", " zurück", " if this", " exceeded", " may have", " n'existe", " n’existe", " existe", " disabled", " shown", " article", " fiche", " déplac", " supprim", " movid", " eliminad", " borrad",
+    " traslad", " verschob", " gelöscht", " entfernt", " umgezogen", " requires", " required", " turn on", " enable", " 400", " 401", " 403", " 404", " 405", " 408", " 410", " 429", " 500", " 501", " 502", " 503", " 504",
+    # filler
+    " lorem", " dolor", " consectetur", " sed do", " ut enim", " duis", " excepteur", " nostrud", " reprehenderit", " text here", " goes here", " go here", " tbd", " todo", " tba", " n/a", " na ", " na.", " fixme", " xxx", " replace this",
+    " sample heading", " sample paragraph", " sample text", " sample title", " sample content", " placeholder", " coming soon", " construction", " check back", " to be ", " left blank", " stub", " nothing here", " hier steht", " platzhalter", " demnächst", " im aufbau", " texto", " próximamente",
+    " construcción", " texte", " bientôt", " insert", " asdf", " qwer", " test test", " foo bar", " bla", " this page", " this section",
 ]
 
 
@@ -140,6 +144,7 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
+_EDGE = re.compile(r"[^\w'’/:.-]+")
 _STEMS: list = []
 _MARKS = re.compile(r"[{}<>$%@\[#]|__")
 
@@ -162,7 +167,7 @@ def kind_of(u: str) -> str:
     marked = _MARKS.search(bare) is not None
     holes = len(PLACEHOLDER.findall(bare)) + len(PLACEHOLDER_CI.findall(bare)) if marked else 0
     unset = len(UNSET.findall(bare))
-    stem = next(_stems().iter(bare.lower()), None) is not None
+    stem = next(_stems().iter(f" {_EDGE.sub(' ', bare.lower())} "), None) is not None
     explains = n >= 8 and (EXPLAINS.search(bare) is not None or "`" in u)
     left = _WORD.findall(PLACEHOLDER_CI.sub(" ", PLACEHOLDER.sub(" ", bare))) if holes else words
     if holes and (holes >= 0.2 * len(left) or not left) and not (explains and holes < 0.34 * len(left)):
@@ -239,16 +244,20 @@ def residue_evidence(documents: DataFrame) -> DataFrame:
     stands in for content).  Null titles and addresses are no evidence either way.
     """
 
-    @F.pandas_udf("bad int, good int, hollow boolean, mismatch boolean, bone long")
-    def look(texts: pd.Series, titles: pd.Series, slugs: pd.Series) -> pd.DataFrame:
-        s = [profile(t, ti if isinstance(ti, str) else None, sl if isinstance(sl, str) else None) for t, ti, sl in zip(texts, titles, slugs)]
-        return pd.DataFrame(s, columns=["bad", "good", "hollow", "mismatch", "bone"])
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [
+                (d, r, *profile(t, ti if isinstance(ti, str) else None, sl if isinstance(sl, str) else None))
+                for d, r, t, ti, sl in zip(b["doc_id"], b["repo_uri"], b["text"], b["title"], b["slug"])
+            ]
+            yield pd.DataFrame(got, columns=["doc_id", "repo_uri", "bad", "good", "hollow", "mismatch", "bone"])
 
     slug = F.regexp_extract(F.coalesce("repo_uri", F.lit("")), r"([^/:]+)$", 1)
-    texts = spread(documents.where(F.col("text").isNotNull()).select("doc_id", "text", "title", "repo_uri"))
-    seen = texts.select(
-        "doc_id", "repo_uri", look("text", "title", slug).alias("f")
-    ).select("doc_id", "repo_uri", "f.*")
+    texts = spread(documents.where(F.col("text").isNotNull()).select("doc_id", "text", "title", "repo_uri")).withColumn("slug", slug)
+    # each text is read once: what is kept of it is a few numbers
+    seen = Staging(documents.sparkSession, "residue").cut(
+        texts.mapInPandas(look, "doc_id long, repo_uri string, bad int, good int, hollow boolean, mismatch boolean, bone long"), "evidence"
+    )
     bad, good = F.col("bad"), F.col("good")
     # a skeleton that many documents share is counted per host first, so that a hot one leaves each task as one row
     doubt = seen.where(~F.col("hollow") & (bad > 0) & (good > 0) & (bad >= F.lit(WEAK) * good) & (bad < F.lit(STRONG) * good))
