@@ -59,7 +59,9 @@ FILLER = re.compile(
 # Wording of error pages and of access, script and waiting notices.
 NOTICE = re.compile(
     r"""
-    \b(?:page|file|resource|document|url|address|path|article|site|server|host)\b[^.\n]{0,60}\b(?:not|n[o']t|could\s+not|cannot|was\s+not|wasn'?t)\b[^.\n]{0,20}\b(?:be\s+)?(?:found|exist|available|loaded|reached|resolved|displayed)\b
+    \b(?:cannot|can'?t|could\s+not)\s+be\s+(?:shown|displayed|rendered|opened)\b | \b(?:page|article|fiche)\b[^.\n]{0,30}\b(?:déplacée?|supprimée?)\b
+  | \b(?:página|dirección)\b[^.\n]{0,40}\b(?:movid[ao]|eliminad[ao]|borrad[ao]|trasladad[ao])\b | \b(?:seite|adresse)\b[^.\n]{0,40}\b(?:verschoben|gelöscht|entfernt|umgezogen)\b
+  | \b(?:page|file|resource|document|url|address|path|article|site|server|host)\b[^.\n]{0,60}\b(?:not|n[o']t|could\s+not|cannot|was\s+not|wasn'?t)\b[^.\n]{0,20}\b(?:be\s+)?(?:found|exist|available|loaded|reached|resolved|displayed)\b
   | \b(?:we|i)\s+(?:could\s*n[o']t|could\s+not|cannot|can'?t)\s+(?:find|load|show|open|display|reach)\b
   | \bcould\s+not\s+be\s+(?:found|loaded|reached|displayed|opened|completed|processed)\b
   | \bno\s+longer\s+(?:exists|available)\b | \bmay\s+have\s+been\s+(?:moved|removed|deleted|renamed)\b | \b(?:was|has\s+been)\s+moved\s+permanently\b
