@@ -33,10 +33,10 @@ PLACEHOLDER = re.compile(
     \{\{[#/>^&!]?\s*[\w.\-|: ]+\s*\}\}\}?            # mustache, jinja, handlebars
   | \{%[^%\n]*%\}                                     # jinja, liquid
   | <%[=\-]?[^%\n]*%>                                 # erb, ejs
-  | \$\{[\w.\-]+\} | \$[A-Z][A-Z0-9_]{2,}\b           # shell, velocity, js
+  | \$\{[\w.\- ]+\} | \{[A-Z][A-Z0-9_. ]+\} | <<[^<>\n]{1,60}>> | \$[A-Z][A-Z0-9_]{2,}\b           # shell, velocity, js
   | \#(?:foreach|set|if|end|else|parse|include)\b
   | (?<![\w$])\$!?[a-z]\w*\.[a-z]\w*
-  | \[(?:[A-Z][A-Z0-9 _/\-]{2,}|(?:insert|describe|add|enter|your|name|link|todo|tbd|replace|fill|list|explain|write|example|optional|placeholder)\b[^\]\n]*)\](?!\()
+  | \[(?:[A-Z][A-Z0-9 _/.\-]{2,}|(?:insert|describe|add|enter|your|name|link|todo|tbd|replace|fill|list|explain|write|example|optional|placeholder)\b[^\]\n]*)\](?!\()
   | <(?:your|insert|enter|add|name|title|placeholder|description|todo|owner|date|team|project|link)[\w \-]*>
   | __[A-Z][A-Z0-9_]*__ | %%?[A-Z][A-Z0-9_]{2,}%%? | %\([\w]+\)[sd] | (?<!\w)%[sd](?!\w) | @@[\w.]+@@ | \[object\s+Object\] | (?<!\w)\{\d\}(?!\w) | \{[a-z]+_[a-z_]+\}
   | \bcookiecutter\.\w+ | <!--\s*(?:delete|remove|replace|fill|describe|insert|add|write)\b[^>]*-->
@@ -200,7 +200,7 @@ STRONG, WEAK = 1.0, 0.4
 DUPLICATED = 2
 
 _LABELLED = re.compile(r"^\s*[\w ]{2,30}:\s*<[^<>\n]{2,60}>\s*$", re.M)
-_ANY_HOLE = re.compile(r"%[A-Z][A-Z0-9_]*%|\{\{[^{}\n]*\}\}|\$!?\{[\w.]+\}|<%[^%\n]*%>|\[[A-Z][A-Z _]+\]|\b(?:undefined|NaN|null|None)\b|__[A-Z]+__|\$[A-Z_]{3,}\b|\{%[^%\n]*%\}|@@\w+@@")
+_ANY_HOLE = re.compile(r"%[A-Z][A-Z0-9_]*%|\{\{[^{}\n]*\}\}|\$!?\{[\w. ]+\}|<%[^%\n]*%>|\[[A-Z][A-Z _.]+\]|\{[A-Z][A-Z0-9_. ]+\}|<<[^<>\n]{1,60}>>|\b(?:undefined|NaN|null|None)\b|__[A-Z]+__|\$[A-Z_]{3,}\b|\{%[^%\n]*%\}|@@\w+@@")
 _STOP = frozenset("the a an of to and or for in on at by with from is are was were be this that its it as der die das und ein eine la el los las de un una le les des et du".split())
 
 
