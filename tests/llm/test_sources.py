@@ -178,7 +178,7 @@ def test_redaction_keeps_the_code():
 
 def test_shared_values_are_placeholders(make):
     f = lambda i, text, repo, **k: {"id": str(i), "kind": "File", "file_path": f"r{i}/a.py", "content": text, "repo_uri": repo, **k}
-    rows = [f(i, 'db_password = "starter_2020"\n', f"repo{i}") for i in range(5)]
+    rows = [f(i, 'db_password = "starter_2020"\n', f"repo{i}") for i in range(7)]
     rows += [f(10, 'db_password = "rout3_1974"\n', "repo0"), f(11, 'x = 1\nprobe("rout3_1974")\n', "repo1"), f(12, "", "repo1"), f(13, None, "repo1"), f(14, 'pw = "l3dg3r_1999"', None, file_path=None)]
     rows += [{"id": None, "kind": "File", "content": 'pw = "l3dg3r_1999"'}, f(10, 'db_password = "rout3_1974"\n', "repo0")]
     nodes = make("nodes", rows, extra="value string, start int, line_no int")
