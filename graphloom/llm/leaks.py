@@ -32,6 +32,8 @@ WORDS = 20
 PER_EDIT = 10
 #: Items sent to the executors at once; more are handled in further blocks over the same documents.
 BLOCK = 20_000
+#: Characters of text searched at once.
+LOT_CHARS = 2_000_000
 #: Independent random walks, samplings of each, and sampled positions per sampling.
 WALKS, SAMPLINGS, POSITIONS = 4, 5, 4
 #: Items that must open alike for the opening to be a standard instruction, and its least words.
@@ -150,6 +152,7 @@ class ItemIndex:
         self.ids = [i for i, _ in rows]
         lead = defaultdict(int, instruction or {})
         self.tables: dict[int, tuple] = {}
+        self.sets: dict[tuple[int, int, int], frozenset] = {}
         vocabulary: set[int] = set()
         at: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         self.symbols: list[np.ndarray] = []
@@ -180,48 +183,71 @@ class ItemIndex:
 
     def search(self, text: str) -> set[int]:
         """Positions of the items that the text leaks."""
-        words = words_of(text)
-        sym = _hashes(words, self.memo if len(self.memo) < 2_000_000 else {})
-        found: set[int] = set()
-        if not len(sym) or not len(self.vocabulary):
+        return {k for _, k in self.search_all([text])}
+
+    def search_all(self, texts: list[str]) -> set[tuple[int, int]]:
+        """``(position of the text, position of the item)`` of all leaks, found over all texts at once.
+
+        The texts lie behind each other with gaps of unknown symbols, wide enough that no window of one
+        text reaches the next.
+        """
+        found: set[tuple[int, int]] = set()
+        if not len(self.vocabulary) or not texts:
             return found
+        if len(self.memo) > 2_000_000:
+            self.memo = {}
+        gap = np.zeros(WORDS + WORDS // PER_EDIT, dtype=np.uint64)
+        parts, bounds, at = [], [], 0
+        for t in texts:
+            h = _hashes(words_of(t), self.memo)
+            parts += [h, gap]
+            bounds.append((at, at + len(h)))
+            at += len(h) + len(gap)
+        sym = np.concatenate(parts)
+        first = np.array([b[0] for b in bounds])
         where = np.searchsorted(self.vocabulary, sym)
         known = self.vocabulary[np.minimum(where, len(self.vocabulary) - 1)] == sym
         total = np.concatenate([[0], np.cumsum(known)])
         for n, (places, tables) in self.tables.items():
             edits = n // PER_EDIT
-            if len(sym) < n - edits:
-                continue
-            # near the end a window may be cut short by deleted words
-            padded = sym if len(sym) >= n else np.concatenate([sym, np.zeros(n - len(sym), dtype=np.uint64)])
-            starts = np.arange(max(1, len(sym) - n + 1))
-            ends = np.minimum(starts + n, len(sym))
-            starts = starts[total[ends] - total[starts] >= n - edits]
-            if not len(starts):
-                continue
-            keys = embed_keys(padded, starts, n)
-            seen: set[tuple[int, int]] = set()
-            for c, (table, order) in enumerate(tables):
-                lo = np.searchsorted(table, keys[:, c], side="left")
-                hi = np.searchsorted(table, keys[:, c], side="right")
-                for i in np.nonzero(hi > lo)[0]:
-                    for o in order[lo[i]:hi[i]]:
-                        k, s, opening = places[o]
-                        if k in found or (int(starts[i]), int(o)) in seen:
-                            continue
-                        seen.add((int(starts[i]), int(o)))
-                        if self._same(k, s, n, opening, sym, int(starts[i]), edits):
-                            found.add(k)
+            starts = np.nonzero(total[n:] - total[:-n] >= n - edits)[0] if len(sym) >= n else np.zeros(0, dtype=np.int64)
+            for lot in range(0, len(starts), 200_000):
+                mine = starts[lot:lot + 200_000]
+                keys = embed_keys(sym, mine, n)
+                seen: set[tuple[int, int]] = set()
+                for c, (table, order) in enumerate(tables):
+                    lo = np.searchsorted(table, keys[:, c], side="left")
+                    hit = np.nonzero((lo < len(table)) & (table[np.minimum(lo, len(table) - 1)] == keys[:, c]))[0]
+                    if not len(hit):
+                        continue
+                    hi = np.searchsorted(table, keys[hit, c], side="right")
+                    for i, end in zip(hit.tolist(), hi.tolist()):
+                        p = int(mine[i])
+                        for o in order[lo[i]:end].tolist():
+                            if (p, o) in seen:
+                                continue
+                            seen.add((p, o))
+                            k, s, opening = places[o]
+                            d = int(np.searchsorted(first, p, side="right")) - 1
+                            if (d, k) not in found and self._same(k, s, n, opening, sym, p, edits, bounds[d][1]):
+                                found.add((d, k))
         return found
 
-    def _same(self, k: int, s: int, n: int, opening: int, sym: np.ndarray, at: int, edits: int) -> bool:
+    def _same(self, k: int, s: int, n: int, opening: int, sym: np.ndarray, at: int, edits: int, stop: int) -> bool:
         mine = self.symbols[k][s:s + n].tolist()
-        for size in range(n, n - edits - 1, -1) if at + n > len(sym) else (n, n - 1, n + 1) if edits else (n,):
-            theirs = sym[at:at + size].tolist()
+        words = self.sets.get((k, s, n))
+        if words is None:
+            words = self.sets[(k, s, n)] = frozenset(mine)
+        # an edit takes away one word at most, so most false candidates end here
+        if len(words.intersection(sym[at:min(at + n + 1, stop)].tolist())) < len(words) - edits:
+            return False
+        sizes = range(n, n - edits - 1, -1) if at + n > stop else (n, n - 1, n + 1) if edits else (n,)
+        for size in sizes:
+            theirs = sym[at:min(at + size, stop)].tolist()
             if not within(mine, theirs, edits):
                 continue
             # words of its own must match for themselves: the instruction alone is no passage
-            if opening <= 0 or within(mine[opening:], theirs[opening + len(theirs) - n:] if len(theirs) != n else theirs[opening:], (n - opening) // PER_EDIT):
+            if opening <= 0 or within(mine[opening:], theirs[max(0, opening + len(theirs) - n):], (n - opening) // PER_EDIT):
                 return True
         return False
 
@@ -270,7 +296,14 @@ def _searcher(rows: list[tuple[int, str]], openers: set[tuple[str, ...]]):
             lead[i] = max((len(o) for o in openers if len(o) < len(w) and tuple(w[:len(o)]) == o), default=0)
         index = ItemIndex(rows, lead)
         for b in batches:
-            got = [(d, index.ids[k]) for d, t in zip(b["doc_id"], b["text"]) for k in index.search(t)]
+            # texts of some megabytes at once, however long single ones are
+            ids, texts = b["doc_id"].tolist(), b["text"].tolist()
+            got, lot, size = [], 0, 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size > LOT_CHARS or i == len(texts) - 1:
+                    got += [(ids[lot + d], index.ids[k]) for d, k in index.search_all(texts[lot:i + 1])]
+                    lot, size = i + 1, 0
             yield pd.DataFrame(got, columns=["doc_id", "item_id"]).astype({"doc_id": "int64", "item_id": "int64"})
 
     return run
