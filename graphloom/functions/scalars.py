@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 # Licence tiers, tried in this order.
 LICENSE_TIERS = [
-    ("strong-copyleft", r"^(AGPL|GPL|SSPL|EUPL|OSL|RPL|CPAL)"),
-    ("weak-copyleft", r"^(LGPL|MPL|EPL|CDDL|CC-BY-SA)"),
-    ("permissive", r"^(MIT|APACHE|BSD|ISC|ZLIB|UNLICENSE|CC0|0BSD|BSL-1|PYTHON|PSF|X11|WTFPL|ARTISTIC)"),
-    ("proprietary", r"(PROPRIETARY|COMMERCIAL|UNLICENSED|SEE LICENSE)"),
+    ("strong-copyleft", r"(^|\b)(AGPL|GPL)(-|$)"),
+    ("weak-copyleft", r"(^|\b)(LGPL|MPL|EPL|CDDL|CC-BY-SA)(-|$)"),
+    ("permissive", r"(^|\b)(MIT(\b|-|$)|APACHE(-|$)|BSD(-|$)|ISC(\b|-|$)|0BSD(\b|$)|UNLICENSE(\b|$)|CC0(\b|-|$)|ZLIB(\b|$))"),
+    ("proprietary", r"(^|\b)(PROPRIETARY|COMMERCIAL|SEE LICENSE)(\b|$)"),
 ]
 COPYLEFT = r"^(GPL|AGPL|SSPL|EUPL|CPAL|OSL|RPL)"
 # Path segments of tests.

@@ -9,8 +9,9 @@ from graphloom.functions.scalars import CONFIRMED_PREFIX, name_words
 from graphloom.runtime import Staging
 
 # Relations that make a symbol live, and kinds that can be dead.
-REFERRERS = ["CALLS", "REFERENCES", "EXTENDS", "IMPLEMENTS", "IMPORTS", "ACCESSES", "METHOD_OVERRIDES"]
-SYMBOLS = ["Function", "Method", "Class", "Struct", "Interface", "Enum", "Trait", "Constructor", "TypeAlias"]
+REFERRERS = ["CALLS", "REFERENCES", "ACCESSES", "EXTENDS", "IMPLEMENTS", "METHOD_OVERRIDES", "METHOD_IMPLEMENTS"]
+SYMBOLS = ["Function", "Method", "Constructor", "Class", "Interface", "Struct", "Trait", "TypeAlias", "Enum"]
+UNCONFIRMED = "+scip-unconfirmed"
 STOP_WORDS = ["the", "and", "for", "get", "set", "new", "with", "from", "this", "that", "test", "spec", "util", "utils", "index", "main"]
 
 
@@ -178,9 +179,10 @@ def demote(edges: DataFrame) -> DataFrame:
     sure = edges.where((F.col("confidence") == 1.0) & F.col("reason").startswith(CONFIRMED_PREFIX)).select("src", "type", "dst").distinct().withColumn("_s", F.lit(True))
     j = edges.join(sure, ["src", "type", "dst"], "left")
     hit = F.coalesce(F.col("_s"), F.lit(False)) & (F.col("confidence") == 0.5) & F.col("type").isin("CALLS", "REFERENCES", "EXTENDS")
+    hit = hit & ~F.coalesce(F.col("reason").endswith(UNCONFIRMED), F.lit(False))
     return j.select(
         "id", F.when(hit, 0.2).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(hit, F.concat(F.coalesce("reason", F.lit("")), F.lit("+scip-unconfirmed"))).otherwise(F.col("reason")).alias("reason"),
+        F.when(hit, F.concat(F.coalesce("reason", F.lit("")), F.lit(UNCONFIRMED))).otherwise(F.col("reason")).alias("reason"),
     )
 
 

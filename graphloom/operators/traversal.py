@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.runtime import Staging
 
 # Relation types that a change travels along.
-IMPACT_TYPES = ["CALLS", "REFERENCES", "EXTENDS", "IMPLEMENTS", "IMPORTS", "METHOD_OVERRIDES", "METHOD_IMPLEMENTS", "ACCESSES"]
+IMPACT_TYPES = ["CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS", "METHOD_OVERRIDES", "METHOD_IMPLEMENTS", "HAS_METHOD", "HAS_PROPERTY"]
 
 
 def _steps(edges: DataFrame, types: list[str] | None, direction: str, min_confidence: float) -> DataFrame:
