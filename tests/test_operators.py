@@ -132,3 +132,13 @@ def test_guard_runs(spark):
     spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("t")
     assert sql_guard.run(spark, "SELECT a, 'drop; table' AS s FROM t WHERE a = :x", {"x": 1}).count() == 1
     assert sql_guard.check("select replace(s, 'a', 'b') from t")
+
+
+def test_c3_orders(spark):
+    from graphloom.operators.linearize import c3, linearise
+
+    assert c3("D", [["B", "A"], ["C", "A"]]) == ["D", "B", "C", "A"]
+    assert c3("X", [["A", "B"], ["B", "A"]]) is None
+    rows = [("B", "A", 0), ("C", "A", 0), ("D", "B", 0), ("D", "C", 1), ("E", "D", 0), ("p", "q", 0), ("q", "p", 0), ("r", "q", 0), (None, "A", 0)]
+    got = {r.cls: r.mro for r in linearise(spark.createDataFrame(rows, "child string, parent string, pos int")).collect()}
+    assert got == {"A": ["A"], "B": ["B", "A"], "C": ["C", "A"], "D": ["D", "B", "C", "A"], "E": ["E", "D", "B", "C", "A"]}
