@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import doc_grammar as G
-from graphloom.llm.common import file_rows, filled
+from graphloom.llm.common import file_rows, filled, spread
 
 # Lines and tags that document nothing.
 DIRECTIVE = re.compile(
@@ -143,15 +143,12 @@ def has_substance(doc: str | None, name: str | None, signature: str | None) -> b
     return bool(says(doc, name, signature))
 
 
-def _told(rows: DataFrame) -> DataFrame:
-    @F.pandas_udf("boolean")
-    def told(docs: pd.Series, names: pd.Series, signatures: pd.Series) -> pd.Series:
-        return pd.Series([
-            isinstance(d, str) and has_substance(d, n if isinstance(n, str) else None, s if isinstance(s, str) else None)
-            for d, n, s in zip(docs, names, signatures)
-        ], dtype=bool)
-
-    return rows.withColumn("told", told("description", "name", "signature"))
+@F.pandas_udf("boolean")
+def _told(docs: pd.Series, names: pd.Series, signatures: pd.Series) -> pd.Series:
+    return pd.Series([
+        isinstance(d, str) and has_substance(d, n if isinstance(n, str) else None, s if isinstance(s, str) else None)
+        for d, n, s in zip(docs, names, signatures)
+    ], dtype=bool)
 
 
 _FOUND = "array<struct<name:string,owner:string,arity:int,line:int,last:int,told:boolean,doc:string,code:string>>"
@@ -207,12 +204,16 @@ def _parsed(files: DataFrame, with_code: bool) -> DataFrame:
 
 
 def functions(nodes: DataFrame) -> DataFrame:
-    """Function and Method nodes merged by id; the row with more non-null fields counts."""
+    """Function and Method nodes merged by id, with ``told``: whether the description has substance.
+
+    The row with more non-null fields counts.  Descriptions are judged per delivery, where they are read.
+    """
     every = [c for c in nodes.columns if c != "id"]
     cols = ["name", "file_path", "start_line", "end_line", "signature", "description"]
     ours = nodes.where(F.col("kind").isin("Function", "Method") & F.col("id").isNotNull())
     rank = F.struct(filled(every).alias("n"), F.xxhash64(*[F.col(f"`{c}`") for c in every]).alias("h"))
-    return ours.groupBy("id").agg(F.max_by(F.struct(*cols), rank).alias("b")).select("id", "b.*")
+    ours = spread(ours.select("id", *cols, rank.alias("rank"))).withColumn("told", _told("description", "name", "signature"))
+    return ours.groupBy("id").agg(F.max_by(F.struct(*cols, "told"), "rank").alias("b")).select("id", "b.*")
 
 
 def _by_source(funcs: DataFrame, nodes: DataFrame, with_code: bool) -> DataFrame:
@@ -220,7 +221,7 @@ def _by_source(funcs: DataFrame, nodes: DataFrame, with_code: bool) -> DataFrame
 
     A node without lines is matched by owner and arity from its id, then by name alone.
     """
-    files = _parsed(file_rows(nodes.where(F.col("kind") == "File")), with_code)
+    files = _parsed(spread(file_rows(nodes)), with_code)
     decls = files.select("id", "file_path", "rank", F.explode("d").alias("x")).select(
         F.col("id").alias("file_id"), "file_path", "rank", "x.*"
     )
@@ -250,7 +251,7 @@ def documented(nodes: DataFrame) -> DataFrame:
     grammar, are judged by ``description`` alone.  Of repeated ids the row with more non-null fields
     counts.
     """
-    funcs = _told(functions(nodes))
+    funcs = functions(nodes)
     rest = funcs.where("not told").select("id", "name", "file_path", "start_line")
     by_source = _by_source(rest, nodes, with_code=False).where("told").select("id")
     return funcs.where("told").select("id").unionByName(by_source).select(F.col("id").alias("node_id"))
@@ -261,7 +262,7 @@ def pairs(nodes: DataFrame) -> DataFrame:
 
     ``code`` is null for a node without a File row or without a match in its file.
     """
-    funcs = _told(functions(nodes))
+    funcs = functions(nodes)
     src = _by_source(funcs.select("id", "name", "file_path", "start_line"), nodes, with_code=True).withColumnRenamed("told", "src_told")
     both = funcs.join(src, "id", "left")
 

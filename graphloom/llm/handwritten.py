@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import file_rows
+from graphloom.llm.common import file_rows, spread
 
 #: Comment lines read from the head, and from the foot, for notices.
 NOTICE_LINES = 40
@@ -321,7 +321,7 @@ def classify_files(nodes: DataFrame) -> DataFrame:
     fields counts.  A null path leaves the notices and nothing else; empty content is hand-written.
     Nodes without an id, of other kinds or without content give no row.
     """
-    rows = file_rows(nodes)
+    rows = spread(file_rows(nodes))
     done = _classified(rows)
     best = done.groupBy("id").agg(F.max_by(F.struct("file_path", "has", "reason"), F.struct("n", "h")).alias("b"))
     return best.where("b.has").select(F.col("id").alias("node_id"), "b.file_path", "b.reason")
