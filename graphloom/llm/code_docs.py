@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import doc_grammar as G
@@ -143,12 +143,15 @@ def has_substance(doc: str | None, name: str | None, signature: str | None) -> b
     return bool(says(doc, name, signature))
 
 
-@F.pandas_udf("boolean")
-def _told(docs: pd.Series, names: pd.Series, signatures: pd.Series) -> pd.Series:
-    return pd.Series([
-        isinstance(d, str) and has_substance(d, n if isinstance(n, str) else None, s if isinstance(s, str) else None)
-        for d, n, s in zip(docs, names, signatures)
-    ], dtype=bool)
+def _told(doc: str, name: str, signature: str) -> Column:
+    @F.pandas_udf("boolean")
+    def told(docs: pd.Series, names: pd.Series, signatures: pd.Series) -> pd.Series:
+        return pd.Series([
+            isinstance(d, str) and has_substance(d, n if isinstance(n, str) else None, s if isinstance(s, str) else None)
+            for d, n, s in zip(docs, names, signatures)
+        ], dtype=bool)
+
+    return told(doc, name, signature)
 
 
 _FOUND = "array<struct<name:string,owner:string,arity:int,line:int,last:int,told:boolean,doc:string,code:string>>"
