@@ -8,6 +8,8 @@ says; both pass the same test of informativeness.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -76,6 +78,10 @@ _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _LEAD = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*(?!\*)|//[/!]?|#+!?|--|\"\"\"|''')?[ \t]?", re.M)
 
 
+_MARKERS = re.compile(r"TODO|FIXME|XXX|HACK|TBD|WIP|BUG|OPTIMIZE|REVIEW|^\s*(?:todo|fixme|xxx|hack|tbd|wip)\b", re.M)
+_TAGGED = re.compile(r"[@\\{]|^\s*:|^\s*(?:since|author|version|created|last|date|copyright|license|spdx)", re.I | re.M)
+
+
 def parts_of(identifier: str | None) -> list[str]:
     return [p.lower() for p in _CAMEL.split(identifier or "") if p]
 
@@ -104,28 +110,30 @@ def bare(doc: str) -> str:
     return "\n".join(kept)
 
 
-def says(doc: str | None, name: str | None, signature: str | None) -> list[str]:
+def says(doc: str | None, name: str | None, signature: str | None) -> Iterator[str]:
     """The words of a documentation that tell anything beyond names, tags and stand-ins."""
     if not doc:
-        return []
+        return
     s = bare(doc)
-    s = WORK.sub(" ", s)
-    s = DROPPED_TAG.sub(" ", s)
-    if re.sub(r"[\s.!:]+", " ", s).strip().lower() in STAND_INS:
-        return []
+    if _MARKERS.search(s):
+        s = WORK.sub(" ", s)
+    if _TAGGED.search(s):
+        s = DROPPED_TAG.sub(" ", s)
+    if len(s) < 60 and re.sub(r"[\s.!:]+", " ", s).strip().lower() in STAND_INS:
+        return
     known = {stem(p) for p in parts_of(name)} | {stem(p) for p in parts_of(signature)}
     glued = (name or "").replace("_", "").lower()
-    out: list[str] = []
     for ln in s.split("\n"):
-        if SECTION.match(ln):
-            continue
         own: set[str] = set()
-        m = PARAM_TAG.match(ln) or FIELD.match(ln)
-        if m and (PARAM_TAG.match(ln) or stem(m[1].lower()) in known):
-            own = {stem(p) for p in parts_of(m[1])}
-            ln = ln[m.end():]
-        else:
-            ln = OTHER_TAG.sub("", ln)
+        if "@" in ln or ":" in ln or "\\" in ln or len(ln) < 24:
+            if SECTION.match(ln):
+                continue
+            m = PARAM_TAG.match(ln) or FIELD.match(ln)
+            if m and (PARAM_TAG.match(ln) or stem(m[1].lower()) in known):
+                own = {stem(p) for p in parts_of(m[1])}
+                ln = ln[m.end():]
+            else:
+                ln = OTHER_TAG.sub("", ln)
         for w in _WORD.findall(ln):
             bits = parts_of(w)
             for b in bits:
@@ -135,12 +143,11 @@ def says(doc: str | None, name: str | None, signature: str | None) -> list[str]:
                     continue
                 if stem(b) in known or stem(b) in own or b in glued or stem(b) in glued and len(stem(b)) > 3:
                     continue
-                out.append(b)
-    return out
+                yield b
 
 
 def has_substance(doc: str | None, name: str | None, signature: str | None) -> bool:
-    return bool(says(doc, name, signature))
+    return next(says(doc, name, signature), None) is not None
 
 
 def _told(doc: str, name: str, signature: str) -> Column:
@@ -189,8 +196,12 @@ def _parsed(files: DataFrame, with_code: bool) -> DataFrame:
             if isinstance(c, str) and isinstance(p, str):
                 python = G.extension(p) in ("py", "pyi")
                 lines = c.replace("\r\n", "\n").split("\n") if with_code else []
-                for d in G.parse(p, c):
+                found = G.parse(p, c)
+                names = Counter(d.name for d in found)
+                for d in found:
                     told = has_substance(d.doc, d.name, d.params)
+                    if not (told or with_code or names[d.name] > 1):
+                        continue  # nothing to tell, and no namesake that it could be taken for
                     last = _last_line(lines, d, python) if with_code else None
                     rows.append({
                         "name": d.name, "owner": d.owner, "arity": d.arity, "line": d.line, "last": last, "told": told,
