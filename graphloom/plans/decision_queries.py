@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import analytics as N
+from graphloom.operators import joins as J
 from graphloom.operators import linearize
 from graphloom.operators import retrieval as R
 from graphloom.operators import traversal as T
@@ -128,3 +129,53 @@ def _(s, d):
     t = hit.withColumn("pos", F.row_number().over(w)).where("pos <= 20")
     o = Window.partitionBy("qid").orderBy("pos", "repo_uri", "id")
     return t.withColumn("o", F.row_number().over(o)).where("o <= 50").select("qid", "repo_uri", "id", "pos")
+
+
+@q("c08_found_in", f"""WITH {N_SQL}, p AS (SELECT id, file_path, coalesce(start_line, 1) AS line FROM n WHERE kind = 'Property'),
+  s AS (SELECT p.id, n.id AS target, row_number() OVER (PARTITION BY p.id ORDER BY end_line - start_line, start_line, end_line, n.id) AS r FROM p JOIN n USING (file_path) WHERE n.kind IN ('Class', 'Struct', 'Function') AND line BETWEEN start_line AND end_line)
+  SELECT p.id, f.id AS target, 0 AS step FROM p JOIN n f ON f.kind = 'File' AND f.file_path = p.file_path UNION ALL SELECT id, target, 1 FROM s WHERE r = 1""")
+def _(s, d):
+    n = nodes(s, d)
+    p = n.where("kind = 'Property'").select("id", "file_path", F.coalesce("start_line", F.lit(1)).alias("line"))
+    files = n.where("kind = 'File'").select("file_path", F.col("id").alias("target"))
+    to_file = p.join(files, "file_path").select("id", "target", F.lit(0).alias("step"))
+    inner = J.innermost(p.select(F.col("id").alias("probe_id"), "file_path", "line"), n.where("kind in ('Class', 'Struct', 'Function')"))
+    return to_file.unionByName(inner.select(F.col("probe_id").alias("id"), F.col("symbol_id").alias("target"), F.lit(1).alias("step")))
+
+
+@q("j10_routes", r"""WITH c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'path (/[a-z]+/\{id\})', 1)) AS path FROM documents), p AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, 'Route (/[a-z]+) is handled', 1)) AS base FROM eval_items)
+  , k AS (SELECT base, min(item_id) AS item_id FROM p GROUP BY 1) SELECT doc_id, path, item_id AS handler, CASE WHEN item_id IS NULL THEN 0.5::DOUBLE ELSE 0.8 END AS confidence FROM c LEFT JOIN k ON base = regexp_extract(path, '^(/[a-z]+)', 1)""")
+def _(s, d):
+    pick = lambda c, rx: F.explode(F.regexp_extract_all(c, F.lit(rx), 1))
+    calls = table(s, d, "documents").select("doc_id", pick("text", r"path (/[a-z]+/\{id\})").alias("path")).distinct()
+    routes = table(s, d, "eval_items").select("item_id", pick("text", r"Route (/[a-z]+) is handled").alias("base")).groupBy("base").agg(F.min("item_id").alias("handler"))
+    j = calls.join(routes, F.regexp_extract("path", r"^(/[a-z]+)", 1) == F.col("base"), "left")
+    return j.select("doc_id", "path", "handler", F.when(F.col("handler").isNull(), 0.5).otherwise(0.8).alias("confidence"))
+
+
+@q("s21_newest_snapshots", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 100")
+def _(s, d):
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return table(s, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("r")).where("r <= 100").drop("r")
+
+
+@q("t17_divergence", """WITH o AS (SELECT DISTINCT p_brand AS branch, l_orderkey AS sha FROM lineitem JOIN part ON p_partkey = l_partkey), base AS (SELECT sha FROM o WHERE branch = (SELECT min(branch) FROM o)),
+  c AS (SELECT branch, count(*) AS k, count(*) FILTER (WHERE sha IN (SELECT sha FROM base)) AS both FROM o GROUP BY 1) SELECT branch, k - both AS ahead, (SELECT count(*) FROM base) - both AS behind FROM c""")
+def _(s, d):
+    o = table(s, d, "lineitem").select("l_partkey", F.col("l_orderkey").alias("sha")).join(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("branch")), "l_partkey").select("branch", "sha").distinct()
+    # a commit knows whether the base has it: one aggregation per commit instead of a join of branches
+    base = o.agg(F.min("branch").alias("base"))
+    per = o.crossJoin(F.broadcast(base)).withColumn("in_base", F.max(F.col("branch") == F.col("base")).over(Window.partitionBy("sha")))
+    g = per.groupBy("branch").agg(F.count(F.lit(1)).alias("k"), F.count_if("in_base").alias("both"), F.max(F.col("branch") == F.col("base")).alias("is_base"))
+    return g.withColumn("n", F.max(F.when(F.col("is_base"), F.col("k"))).over(Window.partitionBy())).select("branch", (F.col("k") - F.col("both")).alias("ahead"), (F.col("n") - F.col("both")).alias("behind"))
+
+
+@q("t20_staleness", """WITH r AS (SELECT repo_uri, max(strptime(index_time, '%Y-%m-%dT%H:%M:%SZ')) AS t FROM repos WHERE repo_uri IS NOT NULL GROUP BY 1)
+  SELECT r.repo_uri, count(e.id) FILTER (WHERE e.indexed_at > r.t) AS behind, count(e.id) FILTER (WHERE e.indexed_at > r.t) > 0 AS stale FROM r LEFT JOIN edges e ON e.repo_uri = r.repo_uri GROUP BY 1""")
+def _(s, d):
+    t = F.try_to_timestamp("index_time", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).cast("timestamp_ntz")
+    r = table(s, d, "repos").where("repo_uri is not null").groupBy("repo_uri").agg(F.max(t).alias("t"))
+    e = table(s, d, "edges").select("repo_uri", "indexed_at")
+    # edges fold to counts per repository against a table of a bounded number of repositories
+    g = r.join(e, "repo_uri", "left").groupBy("repo_uri").agg(F.count_if(F.col("indexed_at") > F.col("t")).alias("behind"))
+    return g.withColumn("stale", F.col("behind") > 0)

@@ -8,13 +8,11 @@ loses a stage.  Only when the setting is absent (tests, a laptop) a temporary fo
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -44,6 +42,7 @@ class Staging:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex[:12]}"
         self.written = 0
+        _STAGED.add(self.root)
 
     def cut(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         """Writes ``df`` once and returns the table that was written."""
@@ -55,12 +54,24 @@ class Staging:
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table returned by :meth:`cut` once nothing lazy reads it any more."""
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(hadoop).delete(at, True)
+    def clean(self) -> None:
+        """Deletes the tables of this call; only once nothing lazy reads them any more."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _STAGED.discard(self.root)
+
+
+_STAGED: set[str] = set()
+
+
+def clean_staging(spark: SparkSession) -> int:
+    """Deletes every staged table of this process; call it once all results are written."""
+    roots = list(_STAGED)
+    for root in roots:
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _STAGED.discard(root)
+    return len(roots)
 
 
 def small(df: DataFrame, limit: int, what: str) -> list:
@@ -69,17 +80,3 @@ def small(df: DataFrame, limit: int, what: str) -> list:
     if len(rows) > limit:
         raise ValueError(f"{what} has more than {limit} rows; raise the bound or use the joined form")
     return rows
-
-
-def n_partitions(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
-
-
-def hub_round(c, digits: int = 6):
-    """Rounds half up towards plus infinity, so that both engines print the same digits."""
-    scale = 10.0**digits
-    return F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
-
-
-def tmp_is_local(path: str) -> bool:
-    return path.startswith("file:") and os.path.isdir(path.removeprefix("file://"))

@@ -1,11 +1,12 @@
 """Readers, the store and streams on small fixtures."""
 
 import json
+import os
 from datetime import datetime
 
 import pytest
 
-from graphloom.runtime import Staging, shared_dir, small
+from graphloom.runtime import Staging, clean_staging, shared_dir, small
 from graphloom.sources import readers as S
 from graphloom.sources.store import GraphStore, changed, upsert
 from graphloom.streaming import events as EV
@@ -104,3 +105,7 @@ def test_bounds_and_staging(spark):
     st = Staging(spark, "test")
     df = st.cut(spark.range(3), "ids")
     assert df.count() == 3 and st.root.startswith(shared_dir(spark))
+    st.clean()
+    other = Staging(spark, "test")
+    other.cut(spark.range(2), "ids")
+    assert clean_staging(spark) >= 1 and not os.path.exists(other.root.removeprefix("file://"))
