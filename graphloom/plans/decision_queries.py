@@ -160,7 +160,7 @@ def _(s, d):
 
 
 @q("t17_divergence", """WITH o AS (SELECT DISTINCT p_brand AS branch, l_orderkey AS sha FROM lineitem JOIN part ON p_partkey = l_partkey), base AS (SELECT sha FROM o WHERE branch = (SELECT min(branch) FROM o)),
-  c AS (SELECT branch, count(*) AS k, count(*) FILTER (WHERE sha IN (SELECT sha FROM base)) AS both FROM o GROUP BY 1) SELECT branch, k - both AS ahead, (SELECT count(*) FROM base) - both AS behind FROM c""")
+  c AS (SELECT branch, count(*) AS k, count(*) FILTER (WHERE sha IN (SELECT sha FROM base)) AS hit FROM o GROUP BY 1) SELECT branch, k - hit AS ahead, (SELECT count(*) FROM base) - hit AS behind FROM c""")
 def _(s, d):
     o = table(s, d, "lineitem").select("l_partkey", F.col("l_orderkey").alias("sha")).join(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("branch")), "l_partkey").select("branch", "sha").distinct()
     # a commit knows whether the base has it: one aggregation per commit instead of a join of branches
