@@ -2,11 +2,11 @@
 
 1. *Index.*  Each file is read once for literals in a telling place (an assignment to a telling name, a
    URL, a header, a command line, a key block, a comment about a key) or of a telling form, and for
-   the hashes of all its other literals.
+   the hashes of all its runs of letters and digits.
 2. *Suppress and confirm.*  A value held by several owners is a placeholder.  What stays is rare and
    either structured or stands in a telling place: a confirmed secret.
-3. *Re-scan.*  Files that hold a confirmed value anywhere, told by the index, are scanned again by an
-   automaton over their confirmed values, which also finds them outside any telling place.
+3. *Re-scan.*  Files that can hold a confirmed value, as the index has a run of it, are scanned again by
+   an automaton over these values, which also finds them outside any telling place.
 """
 
 from __future__ import annotations
@@ -66,9 +66,12 @@ STAND_IN_WORDS = re.compile(
 )
 
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[_\W]+")
-#: A literal: what the index holds of each file.
-LITERAL = re.compile(r"[A-Za-z0-9+/_=.!@#$%^&*?~-]{8,}")
-_LITERAL_TRIM = ".=!?"
+#: A run of letters and digits: what the index holds of each file.  No value begins or ends within one.
+RUN = re.compile(r"[^\W_]+")
+_PARTS = re.compile(r"[^\W_]+|[\W_]+")
+_SPACE = re.compile(r"\s")
+#: What may lie between the characters of a key block, also where it is wrapped or escaped.
+_WRAP = re.compile(r"\\[nr]|[\s\"'+,#*/;:-]")
 
 _NAME = r"[A-Za-z_$][\w$.\-]*"
 _QUOTED = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"""
@@ -218,9 +221,9 @@ def find(path: str | None, content: str) -> list[tuple[int, int, str, bool]]:
 
     blocks: list[tuple[int, int]] = []
     for m in PEM.finditer(content):
-        body = re.sub(r"\\[nr]|[\s\"'+,#*/;:-]", "", m["body"])
+        body = _WRAP.sub("", m["body"])
         if len(set(body)) > 12 and len(body) >= 40 and not re.search(r"\.\.\.|…|<|\$\{|\{\{", m["body"]):
-            add(m.start(), m.end(), body[:64], True)
+            add(m.start(), m.end(), body, True)
         blocks.append((m.start(), m.end()))
     inside = lambda at: any(a <= at < b for a, b in blocks)
 
@@ -322,37 +325,82 @@ def find(path: str | None, content: str) -> list[tuple[int, int, str, bool]]:
     return list(out.values())
 
 
-def literals(content: str) -> set[str]:
-    """All literals of a file that could be a secret outside a telling place."""
-    out = set()
-    for m in LITERAL.finditer(content):
-        v = m[0]
-        if len(v) <= 512 and any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
-            out.add(v.strip(_LITERAL_TRIM))
-            if "=" in v or ":" in v or "@" in v:
-                out.update(p for p in re.split(r"[=:@]", v) if len(p) >= 8)
+def runs(text: str) -> set[str]:
+    """All runs of a text, and all pairs of neighbours with what joins them, if that holds no white space."""
+    parts = _PARTS.findall(text)
+    if parts and not parts[0][0].isalnum():
+        del parts[0]
+    own, seps = parts[::2], parts[1::2]
+    joined = {x for x in set(seps) if not _SPACE.search(x)}
+    return {"", *own, *(a + x + b for a, x, b in zip(own, seps, own[1:]) if x in joined)}
+
+
+def anchors(value: str) -> list[str]:
+    """What the index is asked for: the longest pair or run of a value, which any file with the value has too."""
+    return [max(sorted(runs(value)), key=len)]
+
+
+def block_anchors(block: str) -> list[str]:
+    """Runs of a key block; as lines may be wrapped elsewhere, one of them in a file is enough."""
+    own = set(RUN.findall(re.sub(r"-----[^-]*-----|\\[nr]", " ", block)))
+    return sorted(x for x in own if len(x) >= 6) or sorted(own)
+
+
+def recurrences(content: str, values: list[str], blocks: list[str]) -> list[tuple[int, int, str]]:
+    """``(start, end, value)`` of each place of a value, and of the body of a key block outside such blocks."""
+    out = []
+    if values:
+        a = ahocorasick.Automaton()
+        for v in values:
+            a.add_word(v, v)
+        a.make_automaton()
+        for end, v in a.iter(content):
+            s = end - len(v) + 1
+            left, right = content[s - 1:s], content[end + 1:end + 2]
+            if (left.isalnum() and v[0].isalnum()) or (right.isalnum() and v[-1].isalnum()):
+                continue
+            out.append((s, end + 1, v))
+    if blocks:
+        known = [m.span() for m in PEM.finditer(content)]
+        at, last = [], 0
+        for m in _WRAP.finditer(content):
+            at.extend(range(last, m.start()))
+            last = m.end()
+        at.extend(range(last, len(content)))
+        bare = "".join(content[i] for i in at)
+        for v in blocks:
+            k = bare.find(v)
+            while k >= 0:
+                s, e = at[k], at[k + len(v) - 1] + 1
+                if not any(x <= s < y for x, y in known):
+                    out.append((s, e, v))
+                k = bare.find(v, k + len(v))
     return out
 
 
 def _hash(v: str) -> int:
-    return xxhash.xxh64_intdigest(v) - (1 << 63)
+    return xxhash.xxh32_intdigest(v) - (1 << 31)
 
 
 def _index(files: DataFrame) -> DataFrame:
-    kind = "struct<hits:array<struct<s:int,e:int,line:int,value:string,sure:boolean>>,others:array<bigint>>"
+    kind = "struct<hits:array<struct<s:int,e:int,line:int,value:string,sure:boolean,block:boolean,keys:array<int>>>,runs:array<int>>"
 
     @F.pandas_udf(kind)
     def scan(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        hits, others = [], []
+        hits, keys_of = [], []
         for p, c in zip(paths, contents):
             if not isinstance(c, str):
                 hits.append([])
-                others.append([])
+                keys_of.append([])
                 continue
-            found = find(p if isinstance(p, str) else None, c)
-            hits.append([{"s": s, "e": e, "line": c.count("\n", 0, s) + 1, "value": v, "sure": sure} for s, e, v, sure in found])
-            others.append([_hash(x) for x in literals(c)])
-        return pd.DataFrame({"hits": hits, "others": others})
+            rows = []
+            for s, e, v, sure in find(p if isinstance(p, str) else None, c):
+                block = PEM.match(c, s) is not None
+                keys = block_anchors(c[s:e]) if block else anchors(v)
+                rows.append({"s": s, "e": e, "line": c.count("\n", 0, s) + 1, "value": v, "sure": sure, "block": block, "keys": [_hash(x) for x in keys]})
+            hits.append(rows)
+            keys_of.append([_hash(x) for x in runs(c)])
+        return pd.DataFrame({"hits": hits, "runs": keys_of})
 
     return files.withColumn("x", scan("file_path", "content"))
 
@@ -374,42 +422,27 @@ def secret_places(nodes: DataFrame) -> DataFrame:
     """
     files = _files(nodes)
     seen = _index(files).groupBy("id").agg(F.max_by(F.struct("owner", "x", F.col("content").isNotNull().alias("has")), "rank").alias("b"))
-    seen = seen.select("id", "b.owner", F.col("b.x.hits").alias("hits"), F.col("b.x.others").alias("others"))
+    seen = seen.select("id", "b.owner", F.col("b.x.hits").alias("hits"), F.col("b.x.runs").alias("runs"))
 
     told = seen.select("id", "owner", F.explode("hits").alias("h")).select("id", "owner", "h.*")
     # values leave each task once per owner, so a placeholder that fills the corpus is no hot key
-    owners = told.groupBy("value", "owner").agg(F.max("sure").alias("sure")).groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"))
-    confirmed = owners.where(F.col("n_owners") < SHARED_OWNERS).select("value")
-    first = told.join(confirmed, "value").select("id", F.col("s").alias("start"), F.col("e").alias("end"), F.col("line").alias("line_no"), "value")
+    owners = told.groupBy("value", "owner").agg(F.max(F.struct("block", "keys")).alias("k")).groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.max("k").alias("k"))
+    confirmed = owners.where(F.col("n_owners") < SHARED_OWNERS).select("value", "k.block", "k.keys")
+    first = told.join(confirmed.select("value"), "value").select("id", F.col("s").alias("start"), F.col("e").alias("end"), F.col("line").alias("line_no"), "value")
 
-    # where the index has a confirmed value in a file, the file is scanned for it again
+    # where the index has a run of a confirmed value in a file, the file is scanned for the value
     key = F.xxhash64(F.col("id"))
-    shown = seen.select(key.alias("fk"), F.explode("others").alias("hv"))
-
-    @F.pandas_udf("bigint")
-    def hashed(values: pd.Series) -> pd.Series:
-        return values.map(_hash)
-
-    wanted = confirmed.where(F.length("value") >= 8).select("value", hashed("value").alias("hv"))
-    held = shown.join(wanted, "hv").groupBy("fk").agg(F.collect_set("value").alias("values"))
+    shown = seen.select(key.alias("fk"), F.explode("runs").alias("hv"))
+    wanted = confirmed.select(F.struct("value", "block").alias("v"), F.explode("keys").alias("hv"))
+    held = shown.join(wanted, "hv").groupBy("fk").agg(F.collect_set("v").alias("values"))
     again = files.where(F.col("content").isNotNull()).withColumn("fk", key).join(held, "fk")
 
     @F.pandas_udf("array<struct<s:int,e:int,line:int,value:string>>")
     def rescan(contents: pd.Series, values: pd.Series) -> pd.Series:
         out = []
         for c, vs in zip(contents, values):
-            a = ahocorasick.Automaton()
-            for v in vs:
-                a.add_word(v, v)
-            a.make_automaton()
-            rows = []
-            for end, v in a.iter(c):
-                s = end - len(v) + 1
-                left, right = c[s - 1:s], c[end + 1:end + 2]
-                if (left.isalnum() and v[0].isalnum()) or (right.isalnum() and v[-1].isalnum()):
-                    continue
-                rows.append({"s": s, "e": end + 1, "line": c.count("\n", 0, s) + 1, "value": v})
-            out.append(rows)
+            found = recurrences(c, [x["value"] for x in vs if not x["block"]], [x["value"] for x in vs if x["block"]])
+            out.append([{"s": s, "e": e, "line": c.count("\n", 0, s) + 1, "value": v} for s, e, v in found])
         return pd.Series(out)
 
     second = again.select("id", "rank", rescan("content", "values").alias("h")).groupBy("id").agg(F.max_by("h", "rank").alias("h"))
