@@ -372,7 +372,7 @@ def _(s, d):
 
 @q("n05_components")
 def _(s, d):
-    return N.components(table(s, d, "edges").where("type <> 'CALLS'"))
+    return N.components(table(s, d, "edges"))
 
 
 @q("n06_cohesion", f"""WITH {NE}, m AS (SELECT id, repo_uri AS community FROM n WHERE repo_uri IS NOT NULL), z AS (SELECT community, count(*) AS k FROM m GROUP BY 1),

@@ -14,6 +14,7 @@ from graphloom.operators import retrieval as R
 from graphloom.operators import temporal as T
 from graphloom.operators import traversal as TR
 from graphloom.operators.graph_tables import merge_edges, merge_nodes
+from graphloom.plans import graph_queries
 
 
 def edges_df(spark, pairs, type_="CALLS"):
@@ -47,6 +48,13 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
+def test_components_take_all_edges(spark, tmp_path):
+    calls, holds = edges_df(spark, [("a", "b"), ("c", "b")]), edges_df(spark, [("c", "d"), ("x", "y")], "HAS_METHOD")
+    calls.unionByName(holds).write.parquet(str(tmp_path / "edges.parquet"))
+    got = {r.id: r.component for r in graph_queries.QUERIES["n05_components"](spark, str(tmp_path)).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
+
+
 def test_strong_components(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("g", "g"), ("h", "a")]
     got = {r.id: r.component for r in N.strong_components(edges_df(spark, pairs)).collect()}
