@@ -80,6 +80,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if before == (sign["n"], sign["h"]):
             break
         before = (sign["n"], sign["h"])
+    else:
+        raise RuntimeError(f"the components did not settle in {max_rounds} rounds")
     root = ids.join(pairs.select(F.col("u").alias("k"), F.col("v").alias("root")), "k", "left").select("id", F.coalesce("root", "k").alias("root"))
     name = root.groupBy("root").agg(F.min("id").alias("component"))
     return root.join(name, "root").select("id", "component")
@@ -228,6 +230,8 @@ def strong_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # edges between different pairs join no component
         a, b = both.select(F.col("id").alias("u"), F.col("f").alias("fu"), F.col("b").alias("bu")), both.select(F.col("id").alias("v"), F.col("f").alias("fv"), F.col("b").alias("bv"))
         e = st.cut(e.join(a, "u").join(b, "v").where("fu = fv and bu = bv and fu <> bu").select("u", "v"), f"rest{r}")
+    else:
+        raise RuntimeError(f"the strong components did not settle in {max_rounds} rounds")
     if found is None:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
     return found
@@ -242,4 +246,4 @@ def _reach(st: Staging, e: DataFrame, max_rounds: int = 500) -> DataFrame:
         if nxt.where("moved").isEmpty():
             return nxt.select("id", "low")
         low = nxt.select("id", "low")
-    return low
+    raise RuntimeError(f"a path is longer than {max_rounds} hops")

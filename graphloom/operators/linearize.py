@@ -52,4 +52,6 @@ def linearise(links: DataFrame, max_levels: int = 1000) -> DataFrame:
         if fresh.isEmpty():
             break
         done = done.unionByName(fresh)
+    else:
+        raise RuntimeError(f"there are more than {max_levels} levels")
     return done

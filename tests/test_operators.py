@@ -10,11 +10,13 @@ from graphloom.functions import sql_guard
 from graphloom.operators import analytics as N
 from graphloom.operators import delta as D
 from graphloom.operators import finders as FI
+from graphloom.operators import linearize
 from graphloom.operators import retrieval as R
 from graphloom.operators import temporal as T
 from graphloom.operators import traversal as TR
 from graphloom.operators.graph_tables import merge_edges, merge_nodes
 from graphloom.plans import graph_queries
+from graphloom.runtime import Staging
 
 
 def edges_df(spark, pairs, type_="CALLS"):
@@ -61,6 +63,19 @@ def test_strong_components(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "g": "g"}
 
 
+def test_bounds_are_not_passed_in_silence(spark):
+    ring = edges_df(spark, [(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)])
+    pairs = ring.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    with pytest.raises(RuntimeError):
+        N._reach(Staging(spark, "test"), pairs, max_rounds=5)
+    with pytest.raises(RuntimeError):
+        N.strong_components(ring, max_rounds=1)
+    with pytest.raises(RuntimeError):
+        N.components(ring, max_rounds=1)
+    with pytest.raises(RuntimeError):
+        linearize.linearise(spark.createDataFrame([(f"c{i + 1}", f"c{i}", 0) for i in range(5)], "child string, parent string, pos int"), max_levels=3)
+
+
 def test_communities_are_stable_and_large_enough(spark):
     clique = lambda p: [(f"{p}{i}", f"{p}{j}") for i in range(5) for j in range(5) if i < j]
     e = edges_df(spark, clique("a") + clique("b") + [("x", "y")])
