@@ -2,20 +2,23 @@
 
 Three kinds of evidence are combined:
 
-* *detectors* on the units (lines and sentences) of each text: placeholders of the usual template
-  languages, filler, and the wording of notices, each only where it is used and not quoted;
-* *terms*: whether the words of the address slug and the title come back in the body.  A page that
-  answers something else than its address promised shares no term with it;
-* *hosts*: whether the same skeleton (digits, names and title terms taken out) is served for many
-  documents of the same or of several hosts.
-
-A text is residue if its detected units outweigh its real content.  Where the detectors see only a
-weak notice, a mismatched title together with a duplicated skeleton decides.
+* *terms*: whether the words of the address slug and of the title come back in what the body says.  A
+  page that answers something else than its address promised shares no term with it;
+* *hosts*: the units (lines and sentences) of all documents are counted per host and title.  A response
+  is served in the same words under many addresses, by several hosts, and stands alone wherever it is
+  served, while a sentence of real pages also stands among others;
+* *detectors*: slots of templates in whatever marks, filler, and the wording of notices, each only
+  where it is used and not quoted.
+
+Slots and filler decide by themselves.  Notices that outweigh the content decide if the body does not
+answer its address or if several hosts serve the same wording.  A text without any known wording is a
+response if all it says is mismatched, low in information, and served alone under several titles and hosts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -189,18 +192,42 @@ def kind_of(u: str) -> str:
     return "content"
 
 
-#: Placeholders per word, and how many at least, from which a text counts as unfilled whatever it says.
+#: Slots per word, and how many at least, from which a text counts as unfilled whatever it says.
 HOLE_SHARE, HOLES_LEAST = 0.08, 3
-#: A text of several units with no more different words than this says nothing.
-FEW_WORDS = 4
-#: Detected words per word of content: at and above STRONG the text is residue, between WEAK and STRONG the
-#: title and the hosts decide.
+#: A text of this many words with no more different ones than this says nothing.
+REPEATED_WORDS, FEW_WORDS = 6, 4
+#: Detected words per word of content: at and above STRONG the text is a response, between WEAK and STRONG only
+#: where several hosts serve its wording and its address is not answered.
 STRONG, WEAK = 1.0, 0.4
-#: Documents with the same skeleton from which it counts as duplicated.
-DUPLICATED = 2
+#: Hosts, and titles, under which a wording counts as served in many places.
+HOSTS, TITLES = 2, 3
+#: Units of content up to which a text is low in information.
+LIGHT_UNITS = 2
 
 _LABELLED = re.compile(r"^\s*[\w ]{2,30}:\s*<[^<>\n]{2,60}>\s*$", re.M)
-_ANY_HOLE = re.compile(r"%[A-Z][A-Z0-9_]*%|\{\{[^{}\n]*\}\}|\$!?\{[\w. ]+\}|<%[^%\n]*%>|\[[A-Z][A-Z _.]+\]|\{[A-Z][A-Z0-9_. ]+\}|<<[^<>\n]{1,60}>>|\b(?:undefined|NaN|null|None)\b|__[A-Z]+__|\$[A-Z_]{3,}\b|\{%[^%\n]*%\}|@@\w+@@")
+# a slot is a short name between marks; which marks is open, but they must come back
+_SLOT = re.compile(
+    r"(?P<a>\{\{|\{%|<%=?|<<|[$#]!?\{|\[\[|@@|%%|__|<|\{|\[|@|%|~|\^|\b[A-Z]{3,}\()\s*(?P<name>[A-Za-z](?:[\w .|:-]{0,58}?[A-Za-z0-9])?)\s*(?P<b>\}\}|%\}|%>|>>|\]\]|@@|%%|__|>|\}|\]|@|%|~|\^|\))"
+)
+_PAIRS = {"{{": "}}", "{%": "%}", "<%": "%>", "<%=": "%>", "<<": ">>", "${": "}", "#{": "}", "$!{": "}", "#!{": "}", "[[": "]]", "<": ">", "{": "}", "[": "]"}
+_BLANK = re.compile(r"\?{3,}|(?<![\w_])_{3,}(?![\w_])|\b(?:undefined|NaN|null|None)\b|\[object Object\]|\$[A-Z_]{3,}\b|(?<![\w$])\$!?[a-z]\w*\.[a-z]\w*")
+
+
+def slots(body: str) -> int:
+    """How many slots of a template the text holds: those of every pair of marks that comes back."""
+    by: Counter = Counter()
+    for m in _SLOT.finditer(body):
+        a = m["a"]
+        if m["b"] != (")" if a[-1] == "(" else _PAIRS.get(a, a)):
+            continue
+        at, end = m.start(), m.end()
+        # a parameter of a path, a link, an e-mail, a tag of markup, or a name that runs on, is no slot
+        if (at and (body[at - 1] == "/" or (a in "@%~^" and body[at - 1].isalnum()))) or (a in ("[", "[[") and body[end:end + 1] == "(") or (a in "@%~^" and body[end:end + 1].isalnum()):
+            continue
+        by[a] += 1
+    return sum(n for n in by.values() if n >= HOLES_LEAST) + len(_BLANK.findall(body))
+
+
 _STOP = frozenset("the a an of to and or for in on at by with from is are was were be this that its it as der die das und ein eine la el los las de un una le les des et du".split())
 
 
@@ -208,68 +235,108 @@ def terms(s: str | None) -> set[str]:
     return {w.lower() for w in _WORD.findall(s or "") if w.lower() not in _STOP and len(w) > 2}
 
 
-def profile(text: str, title: str | None, slug: str | None) -> tuple[int, int, bool, bool, int]:
-    """Detected words, words of content, unfilled or empty of words, title mismatched, skeleton hash."""
+_MASK = re.compile(r"[^\W_]*\d[\w.]*|`[^`\n]*`|/[\w./-]+")
+_CUTS = re.compile(r"[^\w]+")
+
+
+def _key(u: str, masked: set[str]) -> int:
+    """The skeleton of a unit: numbers, code, paths and the terms of title and address taken out."""
+    bone = " ".join("t" if w in masked else w for w in _CUTS.split(_MASK.sub("0", u.lower())) if w)
+    return xxhash.xxh64_intdigest(bone) - (1 << 63)
+
+
+def profile(text: str, title: str | None, slug: str | None) -> tuple[int, int, bool, bool, bool, list[int], list[int]]:
+    """Words of notices, words of content, unfilled or empty of words, address answered, light, skeletons of the units of content, and of the wordings of notices."""
     body = _TAG.sub("\n", _CODE.sub("\n", text.replace("\r\n", "\n")))
     bad = good = 0
     all_units = units(body)
+    t = terms(title) | terms(slug)
+    head = (title or "").strip()
+    told: set[str] = set()
+    own: list[int] = []
+    served: list[int] = []
+    specific = False
     for u in all_units:
         k = kind_of(u)
         if k in ("placeholder", "filler", "notice"):
             bad += max(1, len(_WORD.findall(u)))
+            if k == "notice":
+                m = NOTICE.search(_INLINE.sub(" ", u))
+                served.append(_key(m[0], t) if m else 0)
         elif k == "content":
             good += len(_WORD.findall(u))
+            own.append(_key(u, t))
+            specific = specific or "`" in u
+            if not head or head not in u:
+                told |= terms(u)
     words = _WORD.findall(body)
-    holes = len(_ANY_HOLE.findall(body))
+    holes = slots(body)
     said = {w.lower() for w in words}
     hollow = (
         (holes >= HOLES_LEAST and holes >= HOLE_SHARE * max(1, len(words)))
         or len(_LABELLED.findall(body)) >= 2
-        or (len(all_units) >= 3 and len(said) <= FEW_WORDS and "```" not in text)
+        or (len(said) <= FEW_WORDS and (len(words) >= REPEATED_WORDS or len(all_units) >= 3) and "```" not in text)
     )
-    # the title counts as kept if any of its terms comes back outside the line that repeats it
-    rest = "\n".join(u for u in all_units if (title or "") not in u) if title else body
-    t = terms(title)
-    mismatch = bool(t) and not (t & terms(rest)) and not (terms(slug) & terms(rest))
-    bone = re.sub(r"[^\W_]*\d[\w.]*|`[^`\n]*`|/[\w./-]+", "0", body.lower())
-    for w in t | terms(slug):
-        bone = bone.replace(w, "t")
-    bone = " ".join(bone.split())
-    return bad, good, hollow, mismatch, xxhash.xxh64_intdigest(bone) - (1 << 63)
+    light = 0 < len(own) <= LIGHT_UNITS and not specific and "```" not in text
+    return bad, good, hollow, bool(t & told), light, sorted(set(own)), sorted(set(served))
+
+
+_ROWS = "doc_id long, host string, title_key long, bad int, good int, hollow boolean, answered boolean, light boolean, own array<long>, served array<long>"
 
 
 def residue_evidence(documents: DataFrame) -> DataFrame:
-    """One row per document with its evidence: ``doc_id, bad, good, hollow, mismatch, n_same, n_hosts, residue``.
+    """``doc_id, bad, good, hollow, answered, n_hosts, n_titles, n_rich, evidence, residue``: one row per document.
+
+    ``answered`` tells whether a term of title or address comes back in what the body says.  For its most
+    widely served wording ``n_hosts`` counts the hosts; ``n_titles`` the titles of its least served unit;
+    ``n_rich`` the documents in which one of its units stands among others.  ``evidence`` is
+    ``template`` (slots, filler, or no words), ``response`` (notices with host or term evidence) or
+    ``served`` (no known wording; terms and hosts alone), null for content.
 
-    ``n_same`` and ``n_hosts`` count the documents, and the hosts, that share the skeleton of a text
-    in doubt.  Null texts give no row; an empty text, or one of white space, is no residue (nothing
-    stands in for content).  Null titles and addresses are no evidence either way.
+    Null texts give no row; an empty text, or one of white space, is no residue (nothing stands in for
+    content).  Null titles and addresses are no evidence either way.  A repeated id gives a row each.
     """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [
-                (d, r, *profile(t, ti if isinstance(ti, str) else None, sl if isinstance(sl, str) else None))
-                for d, r, t, ti, sl in zip(b["doc_id"], b["repo_uri"], b["text"], b["title"], b["slug"])
-            ]
-            yield pd.DataFrame(got, columns=["doc_id", "repo_uri", "bad", "good", "hollow", "mismatch", "bone"])
+            got = []
+            for d, r, t, ti, sl in zip(b["doc_id"], b["repo_uri"], b["text"], b["title"], b["slug"]):
+                ti = ti if isinstance(ti, str) else None
+                # a title that only opens the text is no address of its own
+                key = _key("" if ti is None or t.lstrip().startswith(ti.strip()) and not t.lstrip().startswith("#") else ti, set())
+                got.append((d, r if isinstance(r, str) else "", key, *profile(t, ti, sl if isinstance(sl, str) else None)))
+            yield pd.DataFrame(got, columns=[c.split()[0] for c in _ROWS.split(", ")])
 
     slug = F.regexp_extract(F.coalesce("repo_uri", F.lit("")), r"([^/:]+)$", 1)
     texts = spread(documents.where(F.col("text").isNotNull()).select("doc_id", "text", "title", "repo_uri")).withColumn("slug", slug)
-    # each text is read once: what is kept of it is a few numbers
+    # each text is read once: what is kept of it are numbers, under a key of its own as ids may repeat
     seen = Staging(documents.sparkSession, "residue").cut(
-        texts.mapInPandas(look, "doc_id long, repo_uri string, bad int, good int, hollow boolean, mismatch boolean, bone long"), "evidence"
+        texts.mapInPandas(look, _ROWS).withColumn("row", F.monotonically_increasing_id()), "evidence"
+    )
+    # how widely a wording is served; each task sends a unit once per host and title, however often it has it
+    notice = seen.select("host", F.explode("served").alias("u")).groupBy("u", "host").agg(F.lit(1).alias("one")).groupBy("u").agg(F.count(F.lit(1)).alias("hosts"))
+    spread_of = seen.where("bad > 0").select("row", F.explode("served").alias("u")).join(notice, "u").groupBy("row").agg(F.max("hosts").alias("n_hosts"))
+    plain = seen.select("host", "title_key", "light", F.explode("own").alias("u")).groupBy("u", "host", "title_key").agg(
+        F.count_if(~F.col("light")).alias("rich"), F.count_if("light").alias("alone")
+    )
+    by_title = plain.where("alone > 0").groupBy("u", "title_key").agg(F.lit(1).alias("one")).groupBy("u").agg(F.count(F.lit(1)).alias("titles"))
+    by_host = plain.groupBy("u", "host").agg(F.sum("rich").alias("rich"), F.sum("alone").alias("alone")).groupBy("u").agg(
+        F.sum("rich").alias("rich"), F.count_if(F.col("alone") > 0).alias("hosts")
+    )
+    standing = seen.where("light and bad = 0 and not hollow and not answered").select("row", F.explode("own").alias("u"))
+    alone = standing.join(by_host.where(F.col("hosts") >= HOSTS), "u", "left").join(by_title, "u", "left").groupBy("row").agg(
+        F.min(F.coalesce("hosts", F.lit(0))).alias("u_hosts"), F.min(F.coalesce("titles", F.lit(0))).alias("n_titles"), F.max("rich").alias("n_rich")
     )
-    bad, good = F.col("bad"), F.col("good")
-    # a skeleton that many documents share is counted per host first, so that a hot one leaves each task as one row
-    doubt = seen.where(~F.col("hollow") & (bad > 0) & (good > 0) & (bad >= F.lit(WEAK) * good) & (bad < F.lit(STRONG) * good))
-    same = doubt.groupBy("bone", "repo_uri").agg(F.count(F.lit(1)).alias("n")).groupBy("bone").agg(
-        F.sum("n").alias("n_same"), F.count(F.lit(1)).alias("n_hosts")
+    known = seen.join(spread_of, "row", "left").join(alone, "row", "left")
+    bad, good, hosts = F.col("bad"), F.col("good"), F.coalesce("n_hosts", "u_hosts", F.lit(0))
+    nothing_else = (good == 0) & (bad > 0)
+    many = F.coalesce("n_hosts", F.lit(0)) >= HOSTS
+    response = (bad > 0) & (
+        ((bad >= F.lit(STRONG) * good) & (~F.col("answered") | many | nothing_else)) | ((bad >= F.lit(WEAK) * good) & ~F.col("answered") & many)
     )
-    known = seen.join(same, "bone", "left")
-    strong = F.col("hollow") | ((bad > 0) & (bad >= F.lit(STRONG) * good))
-    weak = (bad > 0) & (bad >= F.lit(WEAK) * good) & (F.col("mismatch") | (F.coalesce("n_same", F.lit(0)) >= DUPLICATED))
-    return known.select("doc_id", "bad", "good", "hollow", "mismatch", "n_same", "n_hosts", (strong | weak).alias("residue"))
+    served = (F.col("u_hosts") >= HOSTS) & (F.col("n_titles") >= TITLES) & (F.col("n_rich") == 0)
+    evidence = F.when(F.col("hollow"), "template").when(response, "response").when(served, "served")
+    return known.select("doc_id", "bad", "good", "hollow", "answered", hosts.alias("n_hosts"), "n_titles", "n_rich", evidence.alias("evidence"), evidence.isNotNull().alias("residue"))
 
 
 def residue(documents: DataFrame) -> DataFrame:

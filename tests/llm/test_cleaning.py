@@ -79,7 +79,48 @@ def test_residue(spark):
 
 
 def test_doubtful_notice_needs_evidence(spark):
-    weak = "Sorry!\n\nThe gadget will return after the long weekend break"
-    assert not R.profile(weak, None, None)[2]
     docs = spark.createDataFrame([(1, "Sorry! The north wing pump drains slowly today", "North wing pump", None)], "doc_id long, text string, title string, repo_uri string")
     assert R.residue(docs).count() == 0
+
+
+def evidence(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, title string, repo_uri string")
+    return {r.doc_id: (r.evidence, r.n_hosts) for r in R.residue_evidence(docs).collect()}
+
+
+def test_wording_that_no_list_holds(spark):
+    # one answer under many addresses of several hosts, and nowhere among other sentences
+    strange = "Whoopsie-daisy, the gnomes mislaid your parchment once more."
+    rows = [(i, strange, f"Guide to {w} pumps", f"code.example/h{i % 3}/{w}") for i, w in enumerate(["bronze", "copper", "silver", "golden"])]
+    # the same shape, but the sentence also stands in pages that say more, or answers its title, or comes from one host
+    common = "The cache gets rebuilt after every nightly run."
+    rows += [(10 + i, common, f"Notes on {w}", f"code.example/h{i % 3}/{w}") for i, w in enumerate(["anchors", "ropes", "sails", "masts"])]
+    rows += [(20, f"{common} Ropes are checked by hand. Sails follow a week later. Masts are left alone.", "Deck work", "code.example/h1/deck")]
+    rows += [(30 + i, "Bronze bolts outlast copper ones at sea.", f"Bronze in {w}", f"code.example/h{i}/{w}") for i, w in enumerate(["summer", "winter", "autumn", "spring"])]
+    rows += [(40 + i, "Nobody waters these plants any longer.", f"Page {w}", "code.example/h1/same") for i, w in enumerate(["summer", "winter", "autumn", "spring"])]
+    got = evidence(spark, rows)
+    assert {d for d, (e, _) in got.items() if e} == {0, 1, 2, 3}
+    assert got[0] == ("served", 4)
+
+
+def test_notices_by_host_and_term_evidence(spark):
+    # the notice outweighs what is said; it is residue unless it answers its address and only one host serves it
+    text = "The mooring guide could not be loaded. Mooring lines wear early."
+    one = evidence(spark, [(1, text, "Mooring lines", "code.example/a/x")])
+    many = evidence(spark, [(1, text, "Mooring lines", "code.example/a/x"), (2, "The list could not be loaded.", None, "code.example/b/y")])
+    assert one[1][0] is None and many[1] == ("response", 2) and many[2] == ("response", 2)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("The @phase@ phase emits one @relation@ edge per @kind@.", True),
+    ("# TODO(ward.date)\n\nSee TODO(fleet.text) and TODO(toll.summary).", True),
+    ("# __slot date__\n\n__lens owner__ keeps __shift name__.", True),
+    ("___ nodes in ___ carry no range, so the ___ view skips them.", True),
+    ("Mail a@b.example, c@d.example and e@f.example about the quarter results, please, today.", False),
+    ("Two routes share /a/{id}, /b/{id} and /c/{id}; the first wins.", False),
+    ("See [one](a), [two](b) and [three](c).", False),
+    ("Placeholders in angle brackets, such as <owner> or <date>, stand for values you choose.", False),
+    ("blah blah. blah blah. blah blah", True),
+])
+def test_slots_in_any_marks(text, want):
+    assert R.profile(text, None, None)[2] is want
