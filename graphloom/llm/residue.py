@@ -267,7 +267,8 @@ def profile(text: str, title: str | None, slug: str | None) -> tuple[int, int, b
             good += len(_WORD.findall(u))
             own.append(_key(u, t))
             specific = specific or "`" in u
-            if not head or head not in u:
+            line = u.strip("#>*-= ")
+            if not head or not (line.startswith(head.strip("#>*-= ")) and len(line) < len(head) + 8):
                 told |= terms(u)
     words = _WORD.findall(body)
     holes = slots(body)
