@@ -3,8 +3,9 @@
 1. *Index.*  Each file is read once for literals in a telling place (an assignment to a telling name, a
    URL, a header, a command line, a key block, a comment about a key) or of a telling form, and for
    the hashes of all its runs of letters and digits.
-2. *Suppress and confirm.*  A value held by several owners is a placeholder.  What stays is rare and
-   either structured or stands in a telling place: a confirmed secret.
+2. *Suppress and confirm.*  A value that a large share of the owners holds is a placeholder; the bar is
+   higher for values of a structure that only issuers give.  What stays is rare for its kind and either
+   structured or stands in a telling place: a confirmed secret.
 3. *Re-scan.*  Files that can hold a confirmed value, as the index has a run of it, are scanned again by
    an automaton over these values, which also finds them outside any telling place.
 """
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import filled, spread
 
-#: Owners from which a value counts as a shared placeholder.
-SHARED_OWNERS = 6
+#: Share of all owners from which a value counts as a shared placeholder, and for structured values; never fewer than LEAST_OWNERS.
+SHARED, SHARED_STRUCTURED, LEAST_OWNERS = 0.125, 0.5, 4
 MASK = "REDACTED"
 
 # Forms of issued tokens.
@@ -113,6 +114,9 @@ _TRIGGER = re.compile(
 )
 
 
+_GOES_ON = re.compile(r"\s*(?:\+|\.|\\|&)?\s*[\"'`)]")
+
+
 def _windows(content: str) -> list[tuple[int, int, int]]:
     """``(start, end, stop)`` of each line with a telling name; a value may go on until ``stop``."""
     out = []
@@ -125,12 +129,11 @@ def _windows(content: str) -> list[tuple[int, int, int]]:
         end = len(content) if end < 0 else end
         done = end
         stop = end
-        for _ in range(40):
-            if stop >= len(content):
-                break
+        # the pieces of a value may fill any number of lines
+        while stop < len(content):
             nxt = content.find("\n", stop + 1)
             nxt = len(content) if nxt < 0 else nxt
-            if not re.match(r"\s*(?:\+|\.|\\|&)?\s*[\"'`)]", content[stop + 1:nxt]):
+            if not _GOES_ON.match(content, stop + 1, nxt):
                 break
             stop = nxt
         out.append((start, end, stop))
@@ -238,11 +241,8 @@ def find(path: str | None, content: str) -> list[tuple[int, int, str, bool]]:
             add(m.start(), m.end(), v, True)
 
     # a value in pieces, whatever its name, that joins to an issued form
-    for j in _JOINT.finditer(content):
-        at = content.rfind("\n", 0, j.start()) + 1
-        for m in _JOINED.finditer(content, at, min(len(content), j.end() + 600)):
-            if m.start() > j.end():
-                break
+    if _JOINT.search(content):
+        for m in _JOINED.finditer(content):
             v = _unquote(m[0])
             if FORMS.fullmatch(v) and not stand_in(v) and (any(c.isdigit() for c in v) or v.startswith(_ISSUED)):
                 add(m.start() + 1, m.end() - 1, v, True)
@@ -426,8 +426,12 @@ def secret_places(nodes: DataFrame) -> DataFrame:
 
     told = seen.select("id", "owner", F.explode("hits").alias("h")).select("id", "owner", "h.*")
     # values leave each task once per owner, so a placeholder that fills the corpus is no hot key
-    owners = told.groupBy("value", "owner").agg(F.max(F.struct("block", "keys")).alias("k")).groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.max("k").alias("k"))
-    confirmed = owners.where(F.col("n_owners") < SHARED_OWNERS).select("value", "k.block", "k.keys")
+    owners = told.groupBy("value", "owner").agg(F.max(F.struct("block", "keys")).alias("k"), F.bool_or("sure").alias("sure")).groupBy("value").agg(
+        F.count(F.lit(1)).alias("n_owners"), F.max("k").alias("k"), F.bool_or("sure").alias("sure")
+    )
+    n_all = files.select("owner").distinct().count()
+    bar = F.greatest(F.lit(LEAST_OWNERS), F.when(F.col("sure"), F.lit(SHARED_STRUCTURED)).otherwise(F.lit(SHARED)) * F.lit(n_all))
+    confirmed = owners.where(F.col("n_owners") < bar).select("value", "k.block", "k.keys")
     first = told.join(confirmed.select("value"), "value").select("id", F.col("s").alias("start"), F.col("e").alias("end"), F.col("line").alias("line_no"), "value")
 
     # where the index has a run of a confirmed value in a file, the file is scanned for the value

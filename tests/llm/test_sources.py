@@ -187,6 +187,22 @@ def test_shared_values_are_placeholders(make):
     assert S.secret_lines(make("nodes", [])).count() == 0
 
 
+def test_issued_keys_stay_secrets_in_many_owners(make):
+    f = lambda i, text, repo: {"id": str(i), "kind": "File", "file_path": f"r{i}/a.py", "content": text, "repo_uri": repo}
+    # of 16 owners 7 vendor one live key, and 7 the same starter password
+    nodes = make("nodes", [f(i, f'key = "{TOKEN}"\n' if i < 7 else 'db_password = "starter_2020"\n' if i < 14 else "x = 1\n", f"repo{i}") for i in range(16)])
+    assert sorted(int(r.node_id) for r in S.secret_lines(nodes).collect()) == list(range(7))
+
+
+def test_values_of_any_number_of_pieces():
+    digits = "7f3a9c1e5b8d2460" * 8
+    text = "api_token = (\n" + "".join(f'    "{digits[i:i + 2]}"\n' for i in range(0, len(digits), 2)) + ")\n"
+    assert [v for *_, v, _ in S.find("a.py", text)] == [digits]
+    pieces = [TOKEN[i:i + 5] for i in range(0, 20, 5)] + [TOKEN[20:]]
+    apart = "x = (\n" + "\n".join(f'{" " * 400}"{p}"' for p in pieces) + ")\n"
+    assert [v for *_, v, _ in S.find("a.py", apart)] == [TOKEN]
+
+
 @pytest.mark.parametrize("value, text", [
     ("rout3_1974", "see https://h.example/x/rout3_1974 there"), ("rout3_1974", "cp dir/rout3_1974.bak ."), ("rout3_1974", "get ?a=rout3_1974&b=1"),
     ("f7_kx2", "probe f7_kx2 now"), ("Draft#limit", "say Draft#limit now"), ("r3!out;(x)1", "say r3!out;(x)1 now"),
