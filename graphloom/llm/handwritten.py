@@ -1,8 +1,9 @@
 """Source files that were not written by hand: generated, minified, vendored, data kept as code.
 
-Notices are found by one multi-pattern automaton over the comments at the head and the foot of a
-file; each hit is confirmed by the sentence around it, which tells a notice ("code generated by x")
-from a mention ("helpers that find @generated files").  Path rules know vendored directories,
+Notices are found by one multi-pattern automaton over the comments that open and close a file, however
+long they are; each hit names the kind of notice it may belong to, and only the sentence around it is
+read for that kind, which tells a notice ("code generated by x") from a mention ("helpers that find
+@generated files").  Path rules know vendored directories,
 lockfiles and the suffixes of generators and minifiers.  The shape of the whole text tells minified
 code and data kept as code.
 """
@@ -10,6 +11,8 @@ code and data kept as code.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -18,11 +21,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import file_rows, spread
 
-#: Comment lines read from the head, and from the foot, for notices.
-NOTICE_LINES = 40
-
-# Fragments that every notice contains one of; the automaton looks for these.
+# Fragments that every notice contains one of, by the kind of notice; the automaton looks for these.
 TRIGGERS = """
+[generated]
 @generated
 generated by
 generated from
@@ -40,6 +41,7 @@ machine-generated
 machine-made
 machine made
 code generated
+[no edit]
 do not edit
 do not modify
 don't edit
@@ -53,6 +55,7 @@ will be overwritten
 are overwritten
 overwritten on
 overwritten by
+[generated]
 output of
 produced from
 produced by
@@ -79,25 +82,47 @@ parser tables
 .proto
 automatisch erzeugt
 automatisch generiert
+automatisch erstellt
 erzeugt von
+erzeugt durch
+erzeugt aus
 generiert von
-nicht bearbeiten
-nicht ändern
+generiert durch
+generiert aus
+erstellt von
+erstellt durch
+erstellt aus
 generado por
 generado autom
 creado por
-no editar
-no edite
-no lo edite
-no modificar
-no lo modifique
+creado autom
+producido por
+producido autom
+emitido por
+emitido autom
 généré
 genere par
 produit par
+produite par
 créé par
-ne pas modifier
-ne pas éditer
-ne pas editer
+créée par
+émis par
+bundled by
+bundled from
+bundled with
+rendered with
+rendered using
+compiled with
+compiled using
+produced with
+created with
+created from
+built with
+built from
+emitted with
+written from
+source:
+[copied]
 copied verbatim
 copied from
 copied unmodified
@@ -113,18 +138,43 @@ imported unmodified
 imported verbatim
 mirrored from
 upstream
-report bugs
-is part of
-released under
-licensed under
-all rights reserved
-copyright
-sourcemappingurl
 kopiert aus
+kopiert von
 übernommen aus
+übernommen von
 copiado de
+copiado literalmente
 copié de
-""".split("\n")
+copié tel
+copied as
+copied unchanged
+taken unchanged
+taken from
+taken as
+lifted from
+imported from
+imported unchanged
+imported as
+mirrored unchanged
+mirrored verbatim
+mirrored unmodified
+mirrored out
+vendored unmodified
+vendored verbatim
+vendored unchanged
+copied out
+taken out
+lifted out
+vendored out
+verbatim copy of
+[rights]
+(c)
+©
+released under
+licensed under
+all rights reserved
+copyright
+""".strip().split("\n")
 
 _VERSIONED = r"[\w@./-]+ v?\d+(?:\.\d+)+"
 
@@ -221,20 +271,61 @@ LONG_LINE = 240
 
 
 def _automaton() -> ahocorasick.Automaton:
+    """All triggers; what a hit yields is the length and the kind of notice."""
     a = ahocorasick.Automaton()
+    kind = ""
     for t in TRIGGERS:
-        if t.strip():
-            a.add_word(t.strip(), t.strip())
+        if t.startswith("["):
+            kind = t.strip("[]")
+        elif t.strip():
+            a.add_word(t.strip(), (len(t.strip()), kind))
     a.make_automaton()
     return a
 
 
+_PREAMBLE = re.compile(r"\s*(?:package\b|import\b|from\s+\S+\s+import\b|use\s|using\s|require\b|extern\s+crate\b|#include\b|#!|<\?xml|<!doctype|[\"']use\s)", re.I)
+_OPENS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''", "{-": "-}"}
+_OPEN = re.compile(r"\s*[rRuUbB]?(/\*|<!--|\"\"\"|'''|\{-)")
+
+
+def _areas(content: str) -> tuple[list[str], list[str]]:
+    """The comment lines that open a file, above and among what it imports, and those that close it."""
+    lines = content.replace("\r\n", "\n").split("\n")
+    head: list[str] = []
+    closing = None
+    i = 0
+    while i < len(lines):
+        ln = lines[i]
+        if closing:
+            head.append(ln)
+            if closing in ln:
+                closing = None
+        elif not ln.strip():
+            pass
+        elif m := _OPEN.match(ln):
+            head.append(ln)
+            if _OPENS[m[1]] not in ln[m.end():]:
+                closing = _OPENS[m[1]]
+        elif _COMMENT.match(ln):
+            head.append(ln)
+        elif not _PREAMBLE.match(ln):
+            break
+        i += 1
+    foot: list[str] = []
+    k = len(lines) - 1
+    while k >= i and (not lines[k].strip() or _COMMENT.match(lines[k])):
+        if lines[k].strip():
+            foot.append(lines[k])
+        k -= 1
+    return head, foot[::-1]
+
+
 def comment_sentences(lines: list[str]) -> list[str]:
     """The text of the comment lines, without their marks."""
     out = []
     for ln in lines:
         m = _COMMENT.match(ln)
-        body = ln[m.end():].strip().rstrip("*/-> ").strip() if m else None
+        body = (ln[m.end():] if m else ln).strip().rstrip("*/-> ").strip()
         if body:
             out.append(body)
     return out
@@ -256,30 +347,28 @@ def path_reason(path: str) -> str | None:
 
 
 def notice_reason(content: str, automaton: ahocorasick.Automaton) -> str | None:
-    """``generated`` or ``copied`` where a notice in the head or foot says so; else None."""
-    lines = content.split("\n")
-    head = lines[:NOTICE_LINES] if len(lines) > 2 * NOTICE_LINES else lines
-    i = 0
-    while i < len(head) and (not head[i].strip() or _COMMENT.match(head[i]) or head[i].lstrip().startswith(("package ", "#!"))):
-        i += 1
-    block = comment_sentences(head[:i])
-    # a notice may stand below imports, or close the file
-    foot = comment_sentences(lines[-3:]) if len(lines) > i else []
-    said = [s.rstrip("\r") for s in [*block, *foot]]
-    if not any(True for _ in automaton.iter(" \n".join(said).lower())):
+    """``generated`` or ``copied`` where a notice in the opening or closing comments says so; else None."""
+    head, foot = _areas(content)
+    block = comment_sentences(head)
+    said = block + comment_sentences(foot)
+    text = "\n".join(said).lower()
+    if len(text) != sum(map(len, said)) + max(0, len(said) - 1):  # lower case may be longer in rare scripts
+        said = text.split("\n")
+    ends = list(accumulate(len(s) + 1 for s in said))
+    kinds: dict[int, set[str]] = {}
+    for end, (_, kind) in automaton.iter(text):
+        kinds.setdefault(bisect_right(ends, end), set()).add(kind)
+    if not kinds or DENIED.search(" ".join(said)):
         return None
-    joined = " ".join(said)
-    denied = DENIED.search(joined)
-    for s in said:
-        if DENIED.search(s):
-            continue
-        if not denied and (GENERATED.search(s) or NO_EDIT.search(s)):
+    for k in sorted(kinds):
+        if ("generated" in kinds[k] and GENERATED.search(said[k])) or ("no edit" in kinds[k] and NO_EDIT.search(said[k])):
             return "generated"
-        if not denied and COPIED.search(s):
+        if "copied" in kinds[k] and COPIED.search(said[k]):
+            return "copied"
+    if any("rights" in v for v in kinds.values()):
+        top = " ".join(block)
+        if RIGHTS.search(top) and not OWN_RIGHTS.search(top) and any(BANNER.search(s) for s in block):
             return "copied"
-    top = " ".join(block)
-    if not denied and RIGHTS.search(top) and not OWN_RIGHTS.search(top) and any(BANNER.search(s) for s in block[:4]):
-        return "copied"
     return None
 
 
@@ -293,8 +382,6 @@ def shape_reason(path: str, content: str) -> str | None:
     for ln in body.split("\n"):
         n = len(ln.strip())
         total += n
-        if n < 24:
-            continue
         if _DATA.search(ln):
             data += n
         if n > LONG_LINE:
@@ -303,7 +390,7 @@ def shape_reason(path: str, content: str) -> str | None:
                 dense += n
     if total and dense > SHARE * total:
         return "minified"
-    if total >= 200 and data > SHARE * total:
+    if data > SHARE * total:
         return "data"
     return None
 

@@ -27,6 +27,14 @@ from graphloom.llm import residue as R
     ("a/b/src/x.js", "function y(t,w){return t?w.stock(t):void 0}" * 40, "minified"),
     ("a/b/src/x.py", 'SELECT = "' + "SELECT a, b " * 200 + '"\n' + "def f():\n    return SELECT\n" * 3, None),
     ("a/b/src/x.rs", "pub static T: &[u8] = &[\n" + "\t0x8c, 0xcf, 0xa2, 0xab, 0xe4, 0x61, 0x9c,\n" * 30 + "];\n", "data"),
+    # a notice counts wherever it stands in the opening comments, however long they and the file are
+    ("a/b/src/x.go", "// licence text\n" * 300 + "// Code generated by protoc-gen-x. DO NOT EDIT.\npackage x\n" + "var a = f()\n" * 20, "generated"),
+    ("a/b/src/x.go", "// licence text\n" * 300 + "// Code generated by protoc-gen-x. DO NOT EDIT.\npackage x\n" + "var a = f()\n" * 900, "generated"),
+    ("a/b/src/x.ts", "import a from 'a';\n// Code generated by gramkit. DO NOT EDIT.\nexport const b = a;\n", "generated"),
+    ("a/b/src/x.py", '"""\nOutput of modelpress 3.5.3, rebuilt by every release.\n"""\nA = 1\n', "generated"),
+    ("a/b/src/x.ts", "export const a = 1;\n// @generated code is skipped below\nconst b = 2;\n// Code generated by x\nf();\n", None),
+    ("a/b/src/x.ts", "f();\n" + "// end\n" * 9 + "// Generated by gramkit 1.0\n" + "// end\n" * 9, "generated"),
+    ("a/b/src/x.rs", "static T: [u8; 3] = [\n1, 2, 3, 4, 5, 6, 7,\n1, 2, 3, 4, 5, 6, 7,\n1, 2, 3, 4, 5, 6, 7,\n];\n", "data"),
     (None, "", None),
 ])
 def test_reasons(path, content, want):
