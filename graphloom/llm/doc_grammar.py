@@ -11,7 +11,7 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass
 
-from graphloom.llm.peg import Expr, Rule, Run, action, first, many, maybe, seq, term
+from graphloom.llm.peg import Expr, Result, Rule, Run, action, cut, first, many, maybe, seq, term
 
 
 @dataclass
@@ -32,16 +32,33 @@ _EOL = r"[ \t]*\r?\n"
 
 
 def _balanced(open_: str, close: str) -> Rule:
-    """Text between brackets, which may hold strings, comments and brackets."""
-    r = Rule()
-    inner = first(
-        term(rf"[^{re.escape(open_ + close)}\"'`/\n]+|\n"),
-        term(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`'),
-        term(r"//[^\n]*|/\*.*?\*/", re.S),
-        r,
-        term(rf"[^{re.escape(open_ + close)}]"),
-    )
-    return r.set(seq(term(re.escape(open_)), many(inner), term(re.escape(close))))
+    """Text between brackets, which may hold strings, comments and brackets, nested to any depth.
+
+    A counter takes the place of recursion, so that the depth of a text never is that of the parser.
+    """
+    piece = re.compile(
+        rf"[^{re.escape(open_ + close)}\"'`/]+"
+        r'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`'
+        r"|//[^\n]*|/\*.*?\*/|.",
+        re.S,
+    ).match
+
+    def expr(run: Run, pos: int) -> Result:
+        text = run.text
+        if not text.startswith(open_, pos):
+            return None
+        depth, at = 0, pos
+        while m := piece(text, at):
+            at = m.end()
+            if m[0] == open_:
+                depth += 1
+            elif m[0] == close:
+                depth -= 1
+                if not depth:
+                    return at, None
+        return None
+
+    return Rule().set(expr)
 
 
 _PARENS, _SQUARE = _balanced("(", ")"), _balanced("[", "]")
@@ -159,7 +176,7 @@ def _grammar(lang: Language) -> Expr:
         skipped.append(term(r"[^\n`\"'/]*`(?:[^`\\]|\\.)*`[^\n]*\n?"))
         skipped.append(term(r"[^\n\"'`/]*/\*.*?\*/[^\n]*\n?", re.S))
     skipped.append(term(r"[^\n]*\n|[^\n]+\Z"))
-    return many(first(fn, owner, *[action(s, lambda t, a, b, v: None) for s in skipped]))
+    return many(cut(first(fn, owner, *[action(s, lambda t, a, b, v: None) for s in skipped])))
 
 
 _GRAMMARS: dict[str, Expr] = {}

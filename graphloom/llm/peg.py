@@ -93,6 +93,18 @@ def action(part: Expr, f: Callable[[str, int, int, Any], Any]) -> Expr:
     return expr
 
 
+def cut(part: Expr) -> Expr:
+    """A part whose success is final: nothing before its end is tried again, so its memos are let go."""
+
+    def expr(run: Run, pos: int) -> Result:
+        r = part(run, pos)
+        if r is not None and r[0] > pos:
+            run.memo.clear()
+        return r
+
+    return expr
+
+
 class Rule:
     """A memoised nonterminal; define it after use with :meth:`set`, which allows recursion."""
 

@@ -71,6 +71,13 @@ def test_grammars(path, text, want):
     assert all(text[d.start:].startswith(text.split("\n")[d.line - 1].strip()[:8]) for d in G.parse(path, text))
 
 
+def test_nesting_of_any_depth():
+    deep = "(" * 10_000 + ")" * 10_000
+    text = f"// Opens the gate at dawn.\nfunction gate(a = {deep}, b) {{\n  return a;\n}}\n// Shuts it.\nfunction shut(c) {{\n}}\n"
+    assert [(d.name, d.line, d.doc) for d in G.parse("a.ts", text)] == [("gate", 2, "// Opens the gate at dawn.\n"), ("shut", 6, "// Shuts it.\n")]
+    assert [d.name for d in G.parse("a.ts", "function open(" + "(" * 10_000 + "\nfunction shut(c) {\n}\n")] == ["shut"]
+
+
 def test_python_grammar_agrees_with_the_compiler():
     import graphloom.operators.hierarchy as m
 
