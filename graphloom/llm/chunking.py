@@ -1,7 +1,7 @@
 """Splitting oversized chunks at natural boundaries by packing the tree of their structure.
 
-A chunk's text is parsed into a tree: headings over paragraphs and lists in prose, blocks over
-statements by indentation in code and markup.  Subtrees of siblings are merged bottom-up as long as
+A chunk's text is parsed into a tree: headings over paragraphs, list items and fences over lines in
+prose, elements by their tags in markup, blocks over statements by indentation in code.  Subtrees of siblings are merged bottom-up as long as
 they fit; only a node that does not fit is opened.  A single line that does not fit is cut at its
 statements, then at blanks, and only then between characters.
 """
@@ -9,9 +9,10 @@ statements, then at blanks, and only then between characters.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import file_rows
@@ -24,7 +25,11 @@ _HEADING = re.compile(rb"(#{1,6})\s")
 _FENCE = re.compile(rb"\s*(```|~~~)")
 _STATEMENT = re.compile(rb"[;}\]](?=[^;}\],.)])|[.!?](?=\s)|\},|\],|,(?=\{)")
 _CLOSER = re.compile(rb"[\])}]|end\b|</")
+_ITEM = re.compile(rb"[ \t]*(?:[-*+]|\xe2\x80\xa2|\d{1,4}[.)]|[A-Za-z][.)])[ \t]")
+_ELEMENT = re.compile(rb"<(/)?([A-Za-z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(/)?>")
+_VOID = frozenset((b"area", b"base", b"br", b"col", b"embed", b"hr", b"img", b"input", b"link", b"meta", b"source", b"track", b"wbr"))
 _PROSE = frozenset(("md", "markdown", "txt", "rst", "adoc"))
+_MARKUP = frozenset(("html", "htm", "xhtml", "xml", "svg", "vue", "xsd", "xsl", "wsdl", "plist", "csproj"))
 
 
 class Node:
@@ -37,28 +42,19 @@ class Node:
         self.children: list[Node] = []
 
 
-def tree_of(data: bytes, prose: bool) -> Node:
-    """The structure of a text as a tree of lines; blank lines belong to what stands before them."""
+def tree_of(data: bytes, kind: str) -> Node:
+    """The structure of a text as a tree of lines; blank lines belong to what stands before them.
+
+    ``kind`` is ``prose``, ``markup`` or ``code``: each line gets a depth, and is a child of the nearest
+    line before it that is less deep.
+    """
     root = Node(-1, 0, 0)
     stack = [root]
-    at, fenced, section = 0, False, 0
+    at = 0
+    depth_of = {"prose": _prose_depths, "markup": _markup_depths}.get(kind, _code_depths)(data)
     for line in data.splitlines(keepends=True):
         end = at + len(line)
-        bare = line.strip()
-        indent = len(line) - len(line.lstrip(b" \t"))
-        if not bare:
-            depth = None
-        elif prose:
-            if _FENCE.match(line):
-                fenced = not fenced
-                depth = 10 + indent
-            elif not fenced and (m := _HEADING.match(line)):
-                section = len(m[1])
-                depth = section
-            else:
-                depth = 11 + indent + (1 if fenced else 0)
-        else:
-            depth = indent + (1 if _CLOSER.match(bare) else 0)
+        depth = next(depth_of)
         if depth is None:
             for n in stack:
                 n.end = end
@@ -77,6 +73,61 @@ def tree_of(data: bytes, prose: bool) -> Node:
     return root
 
 
+def _indent(line: bytes) -> int:
+    return len(line) - len(line.lstrip(b" \t"))
+
+
+def _code_depths(data: bytes) -> Iterator[int | None]:
+    """By indentation; what closes a block belongs to it."""
+    for line in data.splitlines(keepends=True):
+        bare = line.strip()
+        yield _indent(line) + (1 if _CLOSER.match(bare) else 0) if bare else None
+
+
+def _prose_depths(data: bytes) -> Iterator[int | None]:
+    """Headings 1 to 6; paragraphs, list items and fences below them; their lines below these."""
+    fenced, open_paragraph = False, False
+    for line in data.splitlines(keepends=True):
+        bare, indent = line.strip(), _indent(line)
+        if not bare:
+            open_paragraph = open_paragraph and fenced
+            yield None
+        elif _FENCE.match(line):
+            fenced = not fenced
+            open_paragraph = not fenced
+            yield 20 + indent if fenced else 41 + indent
+        elif fenced:
+            yield 42 + indent
+        elif m := _HEADING.match(line):
+            open_paragraph = False
+            yield len(m[1])
+        elif _ITEM.match(line):
+            open_paragraph = True
+            yield 12 + indent
+        elif open_paragraph:
+            yield 10_000 + indent
+        else:
+            open_paragraph = True
+            yield 10 if not indent else 13 + indent
+
+
+def _markup_depths(data: bytes) -> Iterator[int | None]:
+    """By the elements that are open where a line begins; what closes an element belongs to it."""
+    open_ = 0
+    for line in data.splitlines(keepends=True):
+        if not line.strip():
+            yield None
+            continue
+        steps = [(-1 if t[1] else 0 if t[4] or t[2].lower() in _VOID else 1) for t in _ELEMENT.finditer(line)]
+        lead = 0
+        for x in steps:  # tags that close before the line opens any
+            if x >= 0:
+                break
+            lead += 1
+        yield 2 * max(0, open_ - lead) + (1 if lead else 0)
+        open_ = max(0, open_ + sum(steps))
+
+
 def _cut_line(data: bytes, start: int, end: int, room: int) -> list[tuple[int, int]]:
     """A single oversized line in pieces: at statements, else at blanks, else between characters."""
     out = []
@@ -148,7 +199,7 @@ def _overlap_start(data: bytes, low: int, end: int, overlap: int) -> int:
     return at
 
 
-def split_text(data: bytes, prose: bool = False, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+def split_text(data: bytes, kind: str = "code", limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Pieces ``[start, end)`` of a text: one if it fits, else several that overlap.
 
     Each piece has at most ``limit`` bytes, begins and ends between characters, and each later one
@@ -158,7 +209,7 @@ def split_text(data: bytes, prose: bool = False, limit: int = LIMIT, overlap: in
         return [(0, len(data))]
     if not 4 <= overlap < limit - 8:
         raise ValueError("the overlap must leave room for text")
-    ends = [e for _, e in pack(data, tree_of(data, prose), limit - overlap)]
+    ends = [e for _, e in pack(data, tree_of(data, kind), limit - overlap)]
     out, before = [], 0
     for i, e in enumerate(ends):
         s = 0 if i == 0 else _overlap_start(data, out[-1][0], before, overlap)
@@ -167,8 +218,10 @@ def split_text(data: bytes, prose: bool = False, limit: int = LIMIT, overlap: in
     return out
 
 
-def _prose(path: str | None) -> bool:
-    return (path or "").rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower() in _PROSE
+def kind_of(path: str | None) -> str:
+    """``prose``, ``markup`` or ``code``, by the ending of the path."""
+    ext = (path or "").rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower()
+    return "prose" if ext in _PROSE else "markup" if ext in _MARKUP else "code"
 
 
 _CHUNKS = "array<struct<start_byte:bigint,end_byte:bigint,pieces:array<struct<piece:int,piece_start:bigint,piece_end:bigint,text:string>>>>"
@@ -205,7 +258,7 @@ def oversized_pieces(chunks: DataFrame, nodes: DataFrame, limit: int = LIMIT, ov
                 if e - s <= limit or (s, e) in seen:
                     continue
                 seen.add((s, e))
-                found = split_text(data[s:e], _prose(p), limit, overlap)
+                found = split_text(data[s:e], kind_of(p), limit, overlap)
                 rows.append({
                     "start_byte": s, "end_byte": e,
                     "pieces": [
@@ -226,3 +279,20 @@ def oversized_pieces(chunks: DataFrame, nodes: DataFrame, limit: int = LIMIT, ov
 def oversized(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     """``path, start_byte`` of each chunk that had to be cut into more than one piece."""
     return oversized_pieces(chunks, nodes, with_text=False).where("piece = 1").select("path", "start_byte").distinct()
+
+
+def coverage(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """``path, start_byte, end_byte, covered, within, overlapping``: whether the pieces of each chunk keep what is asked of them.
+
+    ``covered``: from the first byte to the last without a gap; ``within``: none above the limit;
+    ``overlapping``: each later piece repeats some, but no more than ``overlap``, bytes of the one before.
+    """
+    w = Window.partitionBy("path", "start_byte", "end_byte").orderBy("piece")
+    before = F.lag("piece_end").over(w)
+    own = pieces.select("path", "start_byte", "end_byte", "piece_start", "piece_end", before.alias("b"), F.octet_length("text").alias("n"))
+    repeated = F.col("b") - F.col("piece_start")
+    return own.groupBy("path", "start_byte", "end_byte").agg(
+        ((F.min("piece_start") == F.col("start_byte")) & (F.max("piece_end") == F.col("end_byte")) & F.bool_and(F.coalesce(repeated >= 0, F.lit(True)))).alias("covered"),
+        F.bool_and((F.col("n") <= limit) & (F.col("n") == F.col("piece_end") - F.col("piece_start"))).alias("within"),
+        F.bool_and(F.coalesce((repeated > 0) & (repeated <= overlap), F.lit(True))).alias("overlapping"),
+    )

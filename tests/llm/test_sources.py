@@ -122,10 +122,33 @@ def pieces_hold(data, pieces, limit, overlap):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(["  if (a) {\n", "}\n", "\n", "# head\n", "- item\n", "x = 1;", "ä€😀", " ", "word " * 9, "y" * 70 + "\n", "\t\tz();\n"]), min_size=1, max_size=200), st.booleans())
-def test_pieces_cover_any_text(parts, prose):
+@given(st.lists(st.sampled_from(["  if (a) {\n", "}\n", "\n", "# head\n", "- item\n", "x = 1;", "ä€😀", " ", "word " * 9, "y" * 70 + "\n", "\t\tz();\n", "<ul>\n", "</ul>\n", "<li>x</li>\n", "<br/>", "```\n", "  - sub\n"]), min_size=1, max_size=200), st.sampled_from(["prose", "markup", "code"]))
+def test_pieces_cover_any_text(parts, kind):
     data = "".join(parts).encode()
-    pieces_hold(data, K.split_text(data, prose, 200, 40), 200, 40)
+    pieces_hold(data, K.split_text(data, kind, 200, 40), 200, 40)
+
+
+def ends(text, kind):
+    data = text.encode()
+    pieces = K.split_text(data, kind)
+    pieces_hold(data, pieces, K.LIMIT, K.OVERLAP)
+    return [data[:e].decode() for _, e in pieces[:-1]]
+
+
+def test_prose_is_cut_between_paragraphs_and_list_items():
+    paragraph = "".join(f"Line {i} of some plain paragraph here.\n" for i in range(30)) + "\n"
+    assert all(t.endswith("\n\n") for t in ends(paragraph * 6, "prose"))
+    item = "- " + "an item that runs\n  " * 40 + "and ends.\n"
+    assert all(t.endswith("and ends.\n") for t in ends("Intro:\n" + item * 12, "prose"))
+    fence = "```\n" + "x = f(y)\n\n" * 100 + "```\n"
+    assert all(t.endswith("```\n") or t.endswith("here.\n\n") for t in ends((paragraph + fence) * 4, "prose"))
+    section = "## Part\n\n" + "Short line of text.\n" * 90 + "\n"
+    assert all(t.endswith("text.\n\n") for t in ends(section * 5, "prose"))
+
+
+def test_markup_is_cut_between_elements():
+    row = "<tr>\n<td>\n" + "word word word\n" * 50 + "</td>\n</tr>\n"  # no indentation that could tell
+    assert all(t.endswith("</tr>\n") for t in ends("<table>\n" + row * 12 + "</table>\n", "markup"))
 
 
 def test_pieces_end_at_lines():
@@ -151,6 +174,8 @@ def test_chunks_edge_cases(make):
     got = K.oversized_pieces(chunks, nodes).where("start_byte = 100").orderBy("piece").collect()
     assert got[0].piece_start == 100 and got[-1].piece_end == n
     assert got[0].text == ("line of text\n" * 1000)[got[0].piece_start:got[0].piece_end]
+    held = K.coverage(K.oversized_pieces(chunks, nodes)).collect()
+    assert len(held) == 3 and all(r.covered and r.within and r.overlapping for r in held)
     assert K.oversized(chunks.limit(0), nodes).count() == 0 and K.oversized(chunks, nodes.limit(0)).count() == 0
 
 
