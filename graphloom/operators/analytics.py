@@ -12,7 +12,7 @@ from graphloom.runtime import Staging
 REFERRERS = ["CALLS", "REFERENCES", "ACCESSES", "EXTENDS", "IMPLEMENTS", "METHOD_OVERRIDES", "METHOD_IMPLEMENTS"]
 SYMBOLS = ["Function", "Method", "Constructor", "Class", "Interface", "Struct", "Trait", "TypeAlias", "Enum"]
 UNCONFIRMED = "+scip-unconfirmed"
-STOP_WORDS = ["the", "and", "for", "get", "set", "new", "with", "from", "this", "that", "test", "spec", "util", "utils", "index", "main"]
+STOP_WORDS = ["get", "set", "is", "has", "the", "a", "an", "to", "from", "of", "for", "on", "in", "at", "by", "and", "or", "not", "with", "new", "my", "do", "run", "it", "init", "fn", "func"]
 
 
 def adjacency(edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -140,23 +140,6 @@ def degrees(edges: DataFrame, type_: str = "CALLS") -> DataFrame:
     return o.join(i, "id", "full").select("id", F.coalesce("callees", F.lit(0)).alias("callees"), F.coalesce("callers", F.lit(0)).alias("callers"))
 
 
-def entry_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, score``: callees over callers, with hints; leaves and tests are left out."""
-    from graphloom.operators.finders import without_tests
-
-    d = degrees(edges).where("callees > 0")
-    c = without_tests(nodes.where(F.col("kind").isin("Function", "Method"))).select("id", "name", "file_path", "is_exported")
-    base = F.col("callees") / (F.col("callers") + 1)
-    hint = lambda cond, v: F.when(cond, v).otherwise(0.0)
-    score = (
-        base + hint(F.coalesce(F.col("is_exported"), F.lit(False)), 0.5)
-        + hint(F.lower("file_path").rlike(r"(^|/)(main|index|app|server|cli)\.[a-z]+$"), 0.3)
-        + hint(F.lower("file_path").rlike(r"(^|/)(bin|cmd|cli|routes|api|controllers|handlers)/"), 0.3)
-        + hint(F.lower("name").rlike(r"^(main|run|start|handle|serve|execute|process)"), 0.3)
-    )
-    return c.join(d, "id").select("id", score.alias("score"))
-
-
 def dead_code(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, deadness``: ``live``, ``unreachable-export`` (no use from another file) or ``dead`` (no use at all)."""
     s = nodes.where(F.col("kind").isin(SYMBOLS)).select("id", "file_path", F.coalesce("is_exported", F.lit(False)).alias("exported"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import glob_regex, license_tier
@@ -71,3 +71,19 @@ def policy(deps: DataFrame, denied: list[str]) -> DataFrame:
     tier = license_tier(F.col("license"))
     decision = F.when(F.upper(F.trim("license")).isin([x.upper() for x in denied]), "block").when(tier == "unknown", "warn").otherwise("pass")
     return deps.select("id", tier.alias("tier"), decision.alias("decision"))
+
+
+def tier(radius: Column, modules: Column, risky: Column, errors: Column | None = None, warnings: Column | None = None, density: Column | None = None) -> Column:
+    """``block``, ``expert``, ``dual``, ``single`` or ``auto`` by how far a change reaches.
+
+    50 and more dependents block; 20, or an error, ask for an expert; 5, three modules, or a risky symbol for
+    two reviewers; a warning, or more than 0.3 fixes after features, for one.
+    """
+    none = F.lit(0)
+    return (
+        F.when(radius >= 50, "block")
+        .when((radius >= 20) | ((none if errors is None else errors) > 0), "expert")
+        .when((modules >= 3) | risky | (radius >= 5), "dual")
+        .when(((none if warnings is None else warnings) > 0) | ((none if density is None else density) > 0.3), "single")
+        .otherwise("auto")
+    )

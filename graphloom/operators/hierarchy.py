@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.runtime import Staging
@@ -67,7 +67,8 @@ def hierarchies(links: DataFrame, with_paths: bool = False) -> DataFrame:
     * On a cycle ``depth`` is -1 and ``root_id`` the smallest id of the cycle by code points; below a
       cycle ``depth`` is -2 with the same ``root_id``; ``path`` is null in both cases.
     * A link from an id to itself is a cycle.  Repeated links count once.  Should an id have several
-      parents in one hierarchy, the smallest parent id is taken, and the other parents stay as nodes.
+      parents in one hierarchy, the smallest parent id is taken, and the other parents stay as nodes;
+      :func:`dropped_links` lists the links that are not followed.
     * Links with a null end are ignored.  Empty ids are ids.  No links, no rows.
     """
     spark = links.sparkSession
@@ -94,7 +95,6 @@ def hierarchies(links: DataFrame, with_paths: bool = False) -> DataFrame:
     state = names.select("k1", "k2", "p1", "p2", F.lit(1).alias("w"), *([empty.alias("seg")] if with_paths else []))
     seg = ["seg"] if with_paths else []
 
-    raked: list[DataFrame] = []
     spliced: list[tuple[int, DataFrame]] = []
     records: list[DataFrame] = []
     left = names.count()
@@ -113,18 +113,21 @@ def hierarchies(links: DataFrame, with_paths: bool = False) -> DataFrame:
             & (_rank("k1", r) < _rank("c1", r)) & (_rank("k1", r) <= _rank("p1", r))
         )
         what = F.when(F.col("p1").isNull() & F.col("nc").isNull(), "root").when(leaf, "rake").when(unary, "splice").otherwise("stay")
+        # one job per round: the counts come with the write
+        told = Observation()
+        n_of = lambda w: F.count_if(F.col("what") == w).alias(w)
         marked = st.cut(
-            seen.select("k1", "k2", "p1", "p2", "w", *seg, "c1", "c2", what.alias("what")), f"round{r}", by=["what"]
+            seen.select("k1", "k2", "p1", "p2", "w", *seg, "c1", "c2", what.alias("what")).observe(told, n_of("rake"), n_of("splice"), n_of("root")), f"round{r}"
         )
-        counts = {x["what"]: x["n"] for x in marked.groupBy("what").agg(F.count(F.lit(1)).alias("n")).collect()}
-        gone = counts.get("rake", 0) + counts.get("splice", 0) + counts.get("root", 0)
+        counts = told.get
+        gone = counts["rake"] + counts["splice"] + counts["root"]
         record = marked.where("what in ('rake', 'splice', 'root')")
         records.append(record)
-        if counts.get("splice", 0):
+        if counts["splice"]:
             spliced.append((r, marked.where("what = 'splice'")))
         left -= gone
         stay = marked.where("what = 'stay'").select("k1", "k2", "p1", "p2", "w", *seg)
-        if counts.get("splice", 0):
+        if counts["splice"]:
             # the only child of a spliced node takes over its parent and length
             cuts = marked.where("what = 'splice'").select(
                 F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("p1").alias("n1"), F.col("p2").alias("n2"),
@@ -168,22 +171,28 @@ def hierarchies(links: DataFrame, with_paths: bool = False) -> DataFrame:
                 *([empty.alias("path")] if with_paths else []),
             )
         )
+    # the steps back: each round adds its own nodes, those found before stay where they were written
     known = st.cut(known, "known")
     with_splice = {r for r, _ in spliced}
-    # a raked leaf may hang from a node spliced in the same round: splices come back first
-    steps_back = [(i, w) for i in range(len(records) - 1, -1, -1) for w in ("splice", "rake") if w == "rake" or i in with_splice]
-    for n, (i, what_left) in enumerate(steps_back):
-        rec = records[i].where(F.col("what") == what_left).select("k1", "k2", "p1", "p2", "w", *seg)
-        up = known.select(
+
+    def hang(rec: DataFrame, under: DataFrame) -> DataFrame:
+        up = under.select(
             F.col("k1").alias("p1"), F.col("k2").alias("p2"), "root_id", F.col("depth").alias("d"), *(["path"] if with_paths else [])
         )
-        found = rec.join(up, ["p1", "p2"]).select(
+        return rec.select("k1", "k2", "p1", "p2", "w", *seg).join(up, ["p1", "p2"]).select(
             "k1", "k2", "root_id", F.when(F.col("d") < 0, F.lit(-2)).otherwise(F.col("d") + F.col("w")).alias("depth"),
             *([F.concat("path", F.array(F.struct(F.col("p1").alias("k1"), F.col("p2").alias("k2"))), "seg").alias("path")] if with_paths else []),
         )
-        known = known.unionByName(found)
-        if n < len(steps_back) - 1:
-            known = st.cut(known, f"back{i}")
+
+    for i in range(len(records) - 1, -1, -1):
+        rec = records[i]
+        if i in with_splice:
+            # a raked leaf may hang from a node spliced in the same round
+            back = hang(rec.where("what = 'splice'"), known)
+            found = back.unionByName(hang(rec.where("what = 'rake'"), known.unionByName(back)))
+        else:
+            found = hang(rec.where("what = 'rake'"), known)
+        known = known.unionByName(st.cut(found, f"back{i}"))
     if cyc is not None:
         known = known.join(cyc.select("k1", "k2", F.lit(True).alias("on_cycle")), ["k1", "k2"], "left").withColumn(
             "depth", F.when(F.col("on_cycle"), F.lit(-1)).otherwise(F.col("depth"))
@@ -202,18 +211,56 @@ def hierarchies(links: DataFrame, with_paths: bool = False) -> DataFrame:
     )
 
 
-def descendants(paths: DataFrame) -> DataFrame:
-    """``hierarchy, node_id, descendant_id, distance``: each node with each node below it, itself excluded.
+def dropped_links(links: DataFrame) -> DataFrame:
+    """``hierarchy, child, parent``: the links that :func:`hierarchies` does not follow, as their child has a smaller parent too."""
+    links = links.where("hierarchy is not null and child is not null and parent is not null").distinct()
+    taken = links.groupBy("hierarchy", "child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    more = taken.select("hierarchy", "child", F.col("parent").alias("kept"))
+    return links.join(more, ["hierarchy", "child"]).where("parent <> kept").drop("kept")
 
-    Takes the result of :func:`hierarchies` with paths.  Ids on or below a cycle have no finite
-    descent and are left out; a leaf has no rows.
-    """
+
+def _pairs(paths: DataFrame) -> DataFrame:
     w = F.size("path")
     return paths.where("depth > 0").select(
         "hierarchy", F.col("node_id").alias("descendant_id"), w.alias("n"), F.posexplode(F.slice("path", F.lit(1), w - 1)).alias("pos", "node_id")
     ).select("hierarchy", "node_id", "descendant_id", (F.col("n") - 1 - F.col("pos")).alias("distance"))
 
 
+def descendants(links: DataFrame) -> DataFrame:
+    """``hierarchy, node_id, descendant_id, distance``: each id with each other id below it, by the fewest steps down.
+
+    An id on a cycle has below it all other ids of the cycle, and all that hangs from any of them; an id
+    below a cycle has its own subtree.  No id is below itself.  A leaf has no rows.
+    """
+    links = links.where("hierarchy is not null and child is not null and parent is not null")
+    found = hierarchies(links, with_paths=True)
+    out = _pairs(found)
+    looped = found.where("depth < 0").select("hierarchy", "node_id", "root_id", "depth")
+    if looped.isEmpty():
+        return out
+    # one parent per id, as in the hierarchies
+    own = links.groupBy("hierarchy", "child").agg(F.min("parent").alias("parent"))
+    st = Staging(links.sparkSession, "loops")
+    mine = st.cut(own.join(looped.withColumnRenamed("node_id", "child"), ["hierarchy", "child"]), "links")
+    # a cycle opened above its smallest id is a chain, whose depths are the places on the cycle
+    chain = mine.where("depth = -1 and child <> root_id")
+    places = hierarchies(chain).select("hierarchy", "node_id", F.col("depth").alias("place"))
+    ring = mine.where("depth = -1").select("hierarchy", F.col("child").alias("node_id"), F.col("root_id").alias("ring"))
+    size = ring.groupBy("hierarchy", "ring").agg(F.count(F.lit(1)).alias("size"))
+    ring = st.cut(ring.join(places, ["hierarchy", "node_id"], "left").join(size, ["hierarchy", "ring"]).fillna(0, ["place"]), "ring")
+    # what hangs from the cycle, with its path from the id on the cycle
+    hung = hierarchies(mine.where("depth = -2"), with_paths=True)
+    below = hung.where("depth > 0").select("hierarchy", F.col("root_id").alias("at"), F.col("node_id").alias("descendant_id"), F.col("depth").alias("down"))
+    at = ring.select("hierarchy", F.col("node_id").alias("at"), "ring", F.col("place").alias("there"))
+    reached = below.join(at, ["hierarchy", "at"]).select("hierarchy", "ring", "descendant_id", "at", "there", "down").unionByName(
+        at.select("hierarchy", "ring", F.col("at").alias("descendant_id"), "at", "there", F.lit(0).alias("down"))
+    )
+    around = ring.join(reached, ["hierarchy", "ring"]).where("node_id <> at").select(
+        "hierarchy", "node_id", "descendant_id", (F.pmod(F.col("there") - F.col("place"), F.col("size")) + F.col("down")).cast("int").alias("distance")
+    )
+    return out.unionByName(_pairs(hung)).unionByName(around)
+
+
 def cycles(found: DataFrame) -> DataFrame:
     """``hierarchy, root_id, n_on_cycle, n_below`` for each cycle."""
     return found.where("depth < 0").groupBy("hierarchy", "root_id").agg(

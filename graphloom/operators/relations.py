@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.aggregates import grouped_examples
 from graphloom.operators.finders import is_test_path
+from graphloom.operators.joins import BIN_LINES, _bins
 
 
 def top_per(df: DataFrame, key: str, value: str, order: list[Column], k: int) -> DataFrame:
@@ -55,7 +56,9 @@ def shapes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def line_shares(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """``symbol_id, author, share``: lines of each author within a symbol over its span."""
     s = symbols.where("start_line is not null and end_line is not null").select(F.col("id").alias("symbol_id"), "file_path", "start_line", "end_line")
-    j = lines.join(s, "file_path").where("line between start_line and end_line")
+    # bins of lines, so that one file is not one group
+    bin_of = (F.col("line") / BIN_LINES).cast("int").alias("_bin")
+    j = lines.where("line is not null").select("*", bin_of).join(_bins(s, "start_line", "end_line"), ["file_path", "_bin"]).where("line between start_line and end_line")
     span = F.first("end_line") - F.first("start_line") + 1
     return j.groupBy("symbol_id", "author").agg((F.count_distinct("line") / span).alias("share"))
 

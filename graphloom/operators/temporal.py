@@ -30,23 +30,24 @@ def gini(counts: DataFrame, key: str, value: str) -> DataFrame:
     return g.select(key, "n", "gini", bus.cast("long").alias("bus_factor"))
 
 
-def cochange(commits: DataFrame, cap: int | None = None) -> DataFrame:
+def cochange(commits: DataFrame, cap: int = 100) -> DataFrame:
     """``source_file, target_file, cocommit_count, ..., lift``: pairs of files of one commit.
 
     Pairs arise within a commit only, and a commit above ``cap`` files is skipped there but counted in
-    the total, so the pairs of a commit have a bound; commits are folded to sorted arrays first.
+    the total, as surveyed (a sweeping commit tells nothing of its pairs), so the pairs of a commit have a
+    bound; commits are folded to sorted arrays first.
     """
     c = commits.where("file is not null and sha is not null").groupBy("sha").agg(F.array_sort(F.collect_set("file")).alias("files"), F.max("ct").alias("ct"))
-    n = c.agg(F.count(F.lit(1)).alias("total"))
-    used = c if cap is None else c.where(F.size("files") <= cap)
+    total = c.count()
+    used = c.where(F.size("files") <= cap)
     per = used.select(F.explode("files").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("k"))
     src = used.select("ct", "files", F.posexplode("files").alias("p", "source_file"))
     pairs = src.select("ct", "source_file", F.explode(F.slice("files", F.col("p") + 2, F.size("files"))).alias("target_file"))
     g = pairs.groupBy("source_file", "target_file").agg(F.count(F.lit(1)).alias("cocommit_count"), F.max("ct").alias("ct"))
     j = g.join(per.select(F.col("file").alias("source_file"), F.col("k").alias("total_commits_source")), "source_file").join(
         per.select(F.col("file").alias("target_file"), F.col("k").alias("total_commits_target")), "target_file"
-    ).join(F.broadcast(n))
-    lift = F.col("cocommit_count") * F.col("total") / (F.col("total_commits_source") * F.col("total_commits_target"))
+    )
+    lift = F.col("cocommit_count") * F.lit(total) / (F.col("total_commits_source") * F.col("total_commits_target"))
     return j.select("source_file", "target_file", "cocommit_count", "total_commits_source", "total_commits_target", round_up(lift, 4).alias("lift"))
 
 

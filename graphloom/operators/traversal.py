@@ -11,6 +11,12 @@ from graphloom.runtime import Staging
 IMPACT_TYPES = ["CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS", "METHOD_OVERRIDES", "METHOD_IMPLEMENTS", "HAS_METHOD", "HAS_PROPERTY"]
 
 
+def query_set(nodes: DataFrame, kinds: list[str], every: int = 20) -> DataFrame:
+    """``start``: the stated query set of traversals, every ``every``-th symbol by the hash of its id, over all kinds given."""
+    pick = F.conv(F.substring(F.sha2("id", 256), 1, 4), 16, 10).cast("int") % every == 0
+    return nodes.where(F.col("kind").isin(kinds) & pick).select(F.col("id").alias("start"))
+
+
 def _steps(edges: DataFrame, types: list[str] | None, direction: str, min_confidence: float) -> DataFrame:
     e = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     if types:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import analytics as N
+from graphloom.operators import delta as D
 from graphloom.operators import joins as J
 from graphloom.operators import linearize
 from graphloom.operators import retrieval as R
 from graphloom.operators import traversal as T
 from graphloom.operators.finders import is_test_path
-from graphloom.plans.graph_queries import _TYPES, E_SQL, N_SQL, NE, _pagerank_sql, _walk, edges, nodes
+from graphloom.plans.graph_queries import _TYPES, E_SQL, N_SQL, NE, S0_SQL, STARTS, _pagerank_sql, _walk, edges, nodes
 from graphloom.plans.history_queries import _TOK
 from graphloom.plans.relation_queries import _TEST
-from graphloom.runtime import table
+from graphloom.runtime import small, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -30,11 +31,11 @@ def q(name: str, sql: str | None = None):
     return add
 
 
-@q("g10_change_pack", f"""WITH RECURSIVE {NE}, s0 AS (SELECT id AS start FROM n WHERE kind = 'Struct'), {_walk('up', 3, _TYPES, ' AND confidence >= 0.7')},
+@q("g10_change_pack", f"""WITH RECURSIVE {NE}, {S0_SQL}, {_walk('up', 4, _TYPES, ' AND confidence >= 0.7')},
   m AS (SELECT node_id, min(depth) AS depth FROM best WHERE r = 1 GROUP BY 1) SELECT m.node_id, depth, {_TEST} AS is_test FROM m JOIN n ON n.id = m.node_id""")
 def _(s: SparkSession, d: str) -> DataFrame:
     n = nodes(s, d)
-    hit = T.traverse(edges(s, d), n.where("kind = 'Struct'").select(F.col("id").alias("start")), T.IMPACT_TYPES, "up", 3, 0.7)
+    hit = T.traverse(edges(s, d), T.query_set(n, STARTS), T.IMPACT_TYPES, "up", 4, 0.7)
     m = hit.groupBy("node_id").agg(F.min("depth").alias("depth"))
     return m.join(n.select(F.col("id").alias("node_id"), "file_path"), "node_id").select("node_id", "depth", F.coalesce(is_test_path(F.col("file_path")), F.lit(False)).alias("is_test"))
 
@@ -52,16 +53,21 @@ def _(s, d):
     return c.select("id", "consumers", risk.alias("risk"))
 
 
-@q("d10_verdicts", f"""WITH {N_SQL}, m AS (SELECT repo_uri, count(*) FILTER (WHERE cyclomatic_complexity > 10) AS complex, count(DISTINCT file_path) FILTER (WHERE kind = 'File') AS files,
-    count(*) FILTER (WHERE kind IN ('Function', 'Method') AND description IS NULL) AS undocumented FROM n WHERE repo_uri IS NOT NULL GROUP BY 1)
-  SELECT *, CASE WHEN files >= 50 THEN 'block' WHEN files >= 20 OR complex >= 20 THEN 'expert' WHEN complex >= 3 OR undocumented >= 100 THEN 'dual' WHEN undocumented > 0 THEN 'single' ELSE 'auto' END AS verdict FROM m""")
+@q("d10_verdicts", f"""WITH RECURSIVE {NE}, {S0_SQL}, {_walk('up', 3, _TYPES, ' AND confidence >= 0.7')},
+  h AS (SELECT b.start, b.node_id, t.repo_uri FROM best b LEFT JOIN n t ON t.id = b.node_id WHERE r = 1),
+  m AS (SELECT s0.start, count(h.node_id) AS radius, count(DISTINCT h.repo_uri) AS modules FROM s0 LEFT JOIN h ON h.start = s0.start GROUP BY 1)
+  SELECT m.start, radius, modules, CASE WHEN radius >= 50 THEN 'block' WHEN radius >= 20 THEN 'expert' WHEN modules >= 3 OR radius >= 5 OR coalesce(cyclomatic_complexity, 0) > 10 AND description IS NULL THEN 'dual'
+    WHEN coalesce(cyclomatic_complexity, 0) > 10 THEN 'single' ELSE 'auto' END AS tier FROM m JOIN n ON n.id = m.start""")
 def _(s, d):
-    m = nodes(s, d).where("repo_uri is not null").groupBy("repo_uri").agg(
-        F.count_if(F.col("cyclomatic_complexity") > 10).alias("complex"), F.count_distinct(F.when(F.col("kind") == "File", F.col("file_path"))).alias("files"),
-        F.count_if(F.col("kind").isin("Function", "Method") & F.col("description").isNull()).alias("undocumented"),
-    )
-    v = F.when(F.col("files") >= 50, "block").when((F.col("files") >= 20) | (F.col("complex") >= 20), "expert").when((F.col("complex") >= 3) | (F.col("undocumented") >= 100), "dual").when(F.col("undocumented") > 0, "single").otherwise("auto")
-    return m.withColumn("verdict", v)
+    n = nodes(s, d)
+    starts = T.query_set(n, STARTS)
+    hit = T.traverse(edges(s, d), starts, T.IMPACT_TYPES, "up", 3, 0.7).join(n.select(F.col("id").alias("node_id"), "repo_uri"), "node_id", "left")
+    m = hit.groupBy("start").agg(F.count(F.lit(1)).alias("radius"), F.count_distinct("repo_uri").alias("modules"))
+    own = n.select(F.col("id").alias("start"), (F.coalesce("cyclomatic_complexity", F.lit(0)) > 10).alias("complex"), F.col("description").isNull().alias("bare"))
+    g = starts.join(m, "start", "left").fillna(0, ["radius", "modules"]).join(own, "start")
+    # a symbol that is complex and untold stands for one that is complex and untested, as the tables hold no coverage
+    tier = D.tier(F.col("radius"), F.col("modules"), F.col("complex") & F.col("bare"), warnings=F.col("complex").cast("int"))
+    return g.select("start", "radius", "modules", tier.alias("tier"))
 
 
 @q("t09_test_ratio", """SELECT DISTINCT source_file, target_file, cocommit_count::DOUBLE / (total_commits_source + total_commits_target - cocommit_count) AS ratio FROM cochanges
@@ -96,37 +102,45 @@ def _(s, d):
 
 _BM25 = f"""w AS (SELECT doc_id AS id, {_TOK.format(c="concat_ws(' ', title, text)")} AS w FROM documents), l AS (SELECT id, len(w) AS len FROM w),
   p AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM w) GROUP BY 1, 2), st AS (SELECT count(*) AS n, avg(len) AS av FROM l),
-  qs AS (SELECT DISTINCT item_id AS qid, unnest(list_slice({_TOK.format(c='text')}, 1, 3)) AS term FROM eval_items), need AS (SELECT qid, count(*) AS terms FROM qs GROUP BY 1),
+  qs AS (SELECT DISTINCT doc_id AS qid, unnest({_TOK.format(c='title')}) AS term FROM documents WHERE doc_id % 20 = 0), need AS (SELECT qid, count(*) AS terms FROM qs GROUP BY 1),
   f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
   s AS (SELECT qid, p.id, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av)) AS s FROM qs JOIN p USING (term) JOIN f USING (term) JOIN l ON l.id = p.id, st),
   h AS (SELECT qid, id, sum(s) AS score, count(*) AS k FROM s GROUP BY 1, 2)"""
 
 
 def _text_run(s: SparkSession, d: str, limit: int | None) -> DataFrame:
-    first3 = F.array_join(F.slice(R.tokens(F.col("text")), 1, 3), " ")
-    qs = table(s, d, "eval_items").select(F.col("item_id").alias("qid"), first3.alias("text"))
-    return R.bm25(table(s, d, "documents"), "doc_id", ["title", "text"], qs, limit)
+    """The stated query set: the whole titles of all documents whose id is divisible by 20, against all documents."""
+    docs = table(s, d, "documents")
+    return R.bm25(docs, "doc_id", ["title", "text"], docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("title").alias("text")), limit)
+
+
+@q("r01_bm25", f"""WITH {_BM25}, r AS (SELECT h.*, row_number() OVER (PARTITION BY qid ORDER BY floor(score * 1e9) DESC, id) AS pos FROM h JOIN need USING (qid) WHERE k = terms)
+  SELECT qid, id, round(score, 6) AS score FROM r WHERE pos <= 50""")
+def _(s, d):
+    return _text_run(s, d, 50).select("qid", "id", F.round("score", 6).alias("score"))
 
 
 @q("r04_hybrid", f"""WITH {_BM25}, a AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY floor(score * 1e9) DESC, id) AS pos FROM h JOIN need USING (qid) WHERE k = terms),
-  x AS (SELECT i.item_id AS qid, b.vec_id AS id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM eval_items i JOIN embeddings v ON v.vec_id = i.item_id % 50, embeddings b),
+  x AS (SELECT v.vec_id AS qid, b.vec_id AS id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings v, embeddings b WHERE v.vec_id % 20 = 0),
   b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), id) AS pos FROM x),
   u AS (SELECT qid, id, pos, 0 AS run FROM a WHERE pos <= 50 UNION ALL SELECT qid, id, pos, 1 FROM b WHERE pos <= 10), g AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + pos)) AS score, min((run, pos)) AS f FROM u GROUP BY 1, 2)
   SELECT qid, id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY floor(score * 1e12) DESC, f, id) AS r FROM g) WHERE r <= 50""")
 def _(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    qs = table(s, d, "eval_items").select(F.col("item_id").alias("qid"), F.pmod("item_id", F.lit(50)).alias("id"))
-    near = R.knn(v, qs.join(v, "id").select("qid", "v"))
+    near = R.knn(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), "v"))
     return R.fuse(_text_run(s, d, 50), near).select("qid", "id", F.round("score", 9).alias("score"))
 
 
 @q("r06_group_query", f"""WITH {_BM25}, r AS (SELECT h.qid, h.id, h.score, d.repo_uri FROM h JOIN need USING (qid) JOIN documents d ON d.doc_id = h.id WHERE k = terms AND d.repo_uri IS NOT NULL),
+  m AS (SELECT least(greatest(50, ceil(100.0 / count(DISTINCT repo_uri))), 200) AS per_repo FROM documents),
   t AS (SELECT *, row_number() OVER (PARTITION BY qid, repo_uri ORDER BY floor(score * 1e9) DESC, id) AS pos FROM r)
-  SELECT qid, repo_uri, id, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos, repo_uri, id) AS o FROM t WHERE pos <= 20) WHERE o <= 50""")
+  SELECT qid, repo_uri, id, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos, repo_uri, id) AS o FROM t, m WHERE pos <= per_repo) WHERE o <= 50""")
 def _(s, d):
-    hit = _text_run(s, d, None).join(table(s, d, "documents").where("repo_uri is not null").select(F.col("doc_id").alias("id"), "repo_uri"), "id").drop("pos")
+    docs = table(s, d, "documents")
+    hit = _text_run(s, d, None).join(docs.where("repo_uri is not null").select(F.col("doc_id").alias("id"), "repo_uri"), "id").drop("pos")
+    per_repo = R.group_limit(50, docs.agg(F.count_distinct("repo_uri")).first()[0])
     w = Window.partitionBy("qid", "repo_uri").orderBy(F.desc(F.floor(F.col("score") * 1e9)), "id")
-    t = hit.withColumn("pos", F.row_number().over(w)).where("pos <= 20")
+    t = hit.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= per_repo)
     o = Window.partitionBy("qid").orderBy("pos", "repo_uri", "id")
     return t.withColumn("o", F.row_number().over(o)).where("o <= 50").select("qid", "repo_uri", "id", "pos")
 
@@ -143,16 +157,6 @@ def _(s, d):
     return to_file.unionByName(inner.select(F.col("probe_id").alias("id"), F.col("symbol_id").alias("target"), F.lit(1).alias("step")))
 
 
-@q("j10_routes", r"""WITH c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'path (/[a-z]+/\{id\})', 1)) AS path FROM documents), p AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, 'Route (/[a-z]+) is handled', 1)) AS base FROM eval_items)
-  , k AS (SELECT base, min(item_id) AS item_id FROM p GROUP BY 1) SELECT doc_id, path, item_id AS handler, CASE WHEN item_id IS NULL THEN 0.5::DOUBLE ELSE 0.8 END AS confidence FROM c LEFT JOIN k ON base = regexp_extract(path, '^(/[a-z]+)', 1)""")
-def _(s, d):
-    pick = lambda c, rx: F.explode(F.regexp_extract_all(c, F.lit(rx), 1))
-    calls = table(s, d, "documents").select("doc_id", pick("text", r"path (/[a-z]+/\{id\})").alias("path")).distinct()
-    routes = table(s, d, "eval_items").select("item_id", pick("text", r"Route (/[a-z]+) is handled").alias("base")).groupBy("base").agg(F.min("item_id").alias("handler"))
-    j = calls.join(routes, F.regexp_extract("path", r"^(/[a-z]+)", 1) == F.col("base"), "left")
-    return j.select("doc_id", "path", "handler", F.when(F.col("handler").isNull(), 0.5).otherwise(0.8).alias("confidence"))
-
-
 @q("s21_newest_snapshots", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 100")
 def _(s, d):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
@@ -164,10 +168,12 @@ def _(s, d):
 def _(s, d):
     o = table(s, d, "lineitem").select("l_partkey", F.col("l_orderkey").alias("sha")).join(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("branch")), "l_partkey").select("branch", "sha").distinct()
     # a commit knows whether the base has it: one aggregation per commit instead of a join of branches
-    base = o.agg(F.min("branch").alias("base"))
-    per = o.crossJoin(F.broadcast(base)).withColumn("in_base", F.max(F.col("branch") == F.col("base")).over(Window.partitionBy("sha")))
-    g = per.groupBy("branch").agg(F.count(F.lit(1)).alias("k"), F.count_if("in_base").alias("both"), F.max(F.col("branch") == F.col("base")).alias("is_base"))
-    return g.withColumn("n", F.max(F.when(F.col("is_base"), F.col("k"))).over(Window.partitionBy())).select("branch", (F.col("k") - F.col("both")).alias("ahead"), (F.col("n") - F.col("both")).alias("behind"))
+    base = o.agg(F.min("branch").alias("base")).first()["base"]
+    is_base = F.col("branch") == F.lit(base)
+    per = o.withColumn("in_base", F.max(is_base).over(Window.partitionBy("sha")))
+    g = per.groupBy("branch").agg(F.count(F.lit(1)).alias("k"), F.count_if("in_base").alias("both"))
+    n = o.where(is_base).count()
+    return g.select("branch", (F.col("k") - F.col("both")).alias("ahead"), (F.lit(n) - F.col("both")).alias("behind"))
 
 
 @q("t20_staleness", """WITH r AS (SELECT repo_uri, max(strptime(index_time, '%Y-%m-%dT%H:%M:%SZ')) AS t FROM repos WHERE repo_uri IS NOT NULL GROUP BY 1)
@@ -175,7 +181,7 @@ def _(s, d):
 def _(s, d):
     t = F.try_to_timestamp("index_time", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).cast("timestamp_ntz")
     r = table(s, d, "repos").where("repo_uri is not null").groupBy("repo_uri").agg(F.max(t).alias("t"))
-    e = table(s, d, "edges").select("repo_uri", "indexed_at")
-    # edges fold to counts per repository against a table of a bounded number of repositories
-    g = r.join(e, "repo_uri", "left").groupBy("repo_uri").agg(F.count_if(F.col("indexed_at") > F.col("t")).alias("behind"))
-    return g.withColumn("stale", F.col("behind") > 0)
+    r = s.createDataFrame(small(r, 100_000, "repos"), "repo_uri string, t timestamp_ntz")
+    # the repositories, whose number was checked, go to the edges, and these fold to counts where they are read
+    late = table(s, d, "edges").select("repo_uri", "indexed_at").join(F.broadcast(r), "repo_uri").where("indexed_at > t").groupBy("repo_uri").agg(F.count(F.lit(1)).alias("behind"))
+    return r.select("repo_uri").join(late, "repo_uri", "left").select("repo_uri", F.coalesce("behind", F.lit(0)).alias("behind"), (F.coalesce("behind", F.lit(0)) > 0).alias("stale"))

@@ -28,6 +28,10 @@ E_SQL = """e AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTIT
   FROM edges WHERE id IS NOT NULL) WHERE rn = 1)"""
 NE = f"{N_SQL}, {E_SQL}"
 
+#: Kinds that traversals start from, and their stated query set in SQL.
+STARTS = ["Function", "Method", "Class", "Struct"]
+S0_SQL = """s0 AS (SELECT id AS start FROM n WHERE kind IN ('Function', 'Method', 'Class', 'Struct') AND ('0x' || substring(sha256(id), 1, 4))::INT % 20 = 0)"""
+
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -78,12 +82,6 @@ def _(s, d):
     return FI.list_by_kind(nodes(s, d), "File", "DOCS/").select("id", "file_path")
 
 
-@q("f08_by_owner", f"WITH {N_SQL} SELECT id, owner FROM n WHERE owner IN (SELECT name FROM n WHERE kind = 'Struct')")
-def _(s, d):
-    n = nodes(s, d)
-    return n.join(n.where("kind = 'Struct'").select(F.col("name").alias("owner")).distinct(), "owner", "left_semi").select("id", "owner")
-
-
 @q("f09_by_name", f"WITH {N_SQL} SELECT id, name, kind FROM n WHERE name = 'README.md'")
 def _(s, d):
     return FI.list_by_name(nodes(s, d), "README.md").select("id", "name", "kind")
@@ -316,17 +314,17 @@ def _walk(direction: str, depth: int, types: str = "", conf: str = "") -> str:
   best AS (SELECT *, row_number() OVER (PARTITION BY start, node_id ORDER BY depth, path) AS r FROM w WHERE depth > 0)"""
 
 
-_TYPES = " AND type IN (" + ", ".join(f"'{t}'" for t in T.IMPACT_TYPES) + ")"
+_TYPES = " AND type IN ('CALLS', 'IMPORTS', 'EXTENDS', 'IMPLEMENTS', 'METHOD_OVERRIDES', 'METHOD_IMPLEMENTS', 'HAS_METHOD', 'HAS_PROPERTY')"
 
 
-@q("g01_traverse", f"WITH RECURSIVE {NE}, s0 AS (SELECT {_FIRST} AS start), {_walk('down', 4)} SELECT start, node_id, depth, path FROM best WHERE r = 1")
+@q("g01_traverse", f"WITH RECURSIVE {NE}, {S0_SQL}, {_walk('down', 4)} SELECT start, node_id, depth, path FROM best WHERE r = 1")
 def _(s, d):
-    return T.traverse(edges(s, d), _first(s, d, "Class"), None, "down", 4)
+    return T.traverse(edges(s, d), T.query_set(nodes(s, d), STARTS), None, "down", 4)
 
 
-@q("g02_traverse_both", f"WITH RECURSIVE {NE}, s0 AS (SELECT {_FIRST} AS start), {_walk('both', 3, ''' AND type IN ('DEFINES', 'HAS_METHOD', 'EXTENDS')''')} SELECT start, node_id, depth, path FROM best WHERE r = 1")
+@q("g02_traverse_both", f"WITH RECURSIVE {NE}, {S0_SQL}, {_walk('both', 3, ''' AND type IN ('DEFINES', 'HAS_METHOD', 'EXTENDS')''')} SELECT start, node_id, depth, path FROM best WHERE r = 1")
 def _(s, d):
-    return T.traverse(edges(s, d), _first(s, d, "Class"), ["DEFINES", "HAS_METHOD", "EXTENDS"], "both", 3)
+    return T.traverse(edges(s, d), T.query_set(nodes(s, d), STARTS), ["DEFINES", "HAS_METHOD", "EXTENDS"], "both", 3)
 
 
 @q("g03_ancestors", f"WITH RECURSIVE {NE}, s0 AS (SELECT id AS start FROM n WHERE kind = 'Property'), {_walk('up', 8, ''' AND type IN ('HAS_PROPERTY', 'DEFINES')''')} SELECT start, node_id, depth, path FROM best WHERE r = 1")
@@ -334,7 +332,7 @@ def _(s, d):
     return T.traverse(edges(s, d), nodes(s, d).where("kind = 'Property'").select(F.col("id").alias("start")), ["HAS_PROPERTY", "DEFINES"], "up", 8)
 
 
-@q("g04_impact", f"""WITH RECURSIVE {NE}, s0 AS (SELECT id AS start FROM n WHERE kind = 'Struct'), {_walk('up', 3, _TYPES, ' AND confidence >= 0.7')},
+@q("g04_impact", f"""WITH RECURSIVE {NE}, {S0_SQL}, {_walk('up', 3, _TYPES, ' AND confidence >= 0.7')},
   k AS (SELECT b.start, b.depth FROM best b JOIN n ON n.id = b.node_id WHERE r = 1 AND NOT coalesce(len(list_intersect(string_split(lower(file_path), '/'), ['test', 'tests', 'spec', 'specs', '__tests__'])) > 0
     OR contains(lower(file_path), '.test.') OR contains(lower(file_path), '.spec.'), FALSE)),
   g AS (SELECT start, count(*) FILTER (WHERE depth = 1) AS d1, count(*) FILTER (WHERE depth = 2) AS d2, count(*) FILTER (WHERE depth = 3) AS d3, count(*) AS n FROM k GROUP BY 1)
@@ -342,7 +340,7 @@ def _(s, d):
   CASE WHEN d1 * 3 + d2 + d3 * 0.3 >= 30 THEN 'CRITICAL' WHEN d1 * 3 + d2 + d3 * 0.3 >= 10 THEN 'HIGH' WHEN d1 * 3 + d2 + d3 * 0.3 >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk_by_score FROM g""")
 def _(s, d):
     n = nodes(s, d)
-    return T.impact(edges(s, d), n, n.where("kind = 'Struct'").select(F.col("id").alias("start")))
+    return T.impact(edges(s, d), n, T.query_set(n, STARTS))
 
 
 @q("n01_adjacency", f"WITH {E_SQL} SELECT src, dst, sum(coalesce(confidence, 1.0)) AS w FROM e WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2")
@@ -387,7 +385,7 @@ _WORDS = r"list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_r
 
 
 @q("n07_keywords", f"""WITH {N_SQL}, w AS (SELECT repo_uri, unnest({_WORDS}) AS word FROM n WHERE repo_uri IS NOT NULL AND name IS NOT NULL),
-  c AS (SELECT repo_uri, word, count(*) AS n FROM w WHERE length(word) >= 3 AND word NOT IN ({', '.join(f"'{x}'" for x in N.STOP_WORDS)}) GROUP BY 1, 2)
+  c AS (SELECT repo_uri, word, count(*) AS n FROM w WHERE length(word) >= 3 AND word NOT IN ('get', 'set', 'is', 'has', 'the', 'a', 'an', 'to', 'from', 'of', 'for', 'on', 'in', 'at', 'by', 'and', 'or', 'not', 'with', 'new', 'my', 'do', 'run', 'it', 'init', 'fn', 'func') GROUP BY 1, 2)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_uri ORDER BY n DESC, word) AS pos FROM c) WHERE pos <= 5""")
 def _(s, d):
     return N.keywords(nodes(s, d), "repo_uri")
@@ -399,18 +397,6 @@ def _(s, d):
     return N.degrees(edges(s, d))
 
 
-@q("n08_entry_points", f"""WITH {NE}, k AS (SELECT DISTINCT src, dst FROM e WHERE type = 'CALLS' AND src IS NOT NULL AND dst IS NOT NULL), o AS (SELECT src AS id, count(*) AS callees FROM k GROUP BY 1),
-  i AS (SELECT dst AS id, count(*) AS callers FROM k GROUP BY 1)
-  SELECT n.id, callees / (coalesce(callers, 0) + 1) + CASE WHEN coalesce(is_exported, FALSE) THEN 0.5 ELSE 0.0 END
-    + CASE WHEN regexp_matches(lower(file_path), '(^|/)(main|index|app|server|cli)\\.[a-z]+$') THEN 0.3 ELSE 0.0 END
-    + CASE WHEN regexp_matches(lower(file_path), '(^|/)(bin|cmd|cli|routes|api|controllers|handlers)/') THEN 0.3 ELSE 0.0 END
-    + CASE WHEN regexp_matches(lower(name), '^(main|run|start|handle|serve|execute|process)') THEN 0.3 ELSE 0.0 END AS score
-  FROM n JOIN o ON o.id = n.id LEFT JOIN i ON i.id = n.id WHERE kind IN ('Function', 'Method') AND NOT coalesce(len(list_intersect(string_split(lower(file_path), '/'), ['test', 'tests', 'spec', 'specs', '__tests__'])) > 0
-    OR contains(lower(file_path), '.test.') OR contains(lower(file_path), '.spec.'), FALSE)""")
-def _(s, d):
-    return N.entry_points(nodes(s, d), edges(s, d))
-
-
 @q("n11_strong_components")
 def _(s, d):
     return N.strong_components(edges(s, d).where("type = 'CALLS'"))
@@ -421,10 +407,10 @@ def _(s, d):
     return N.overrides(nodes(s, d), edges(s, d))
 
 
-_DEAD = f"""r AS (SELECT DISTINCT src, dst FROM e WHERE type IN ({', '.join(f"'{t}'" for t in N.REFERRERS)}) AND src IS NOT NULL AND dst IS NOT NULL AND src <> dst),
+_DEAD = f"""r AS (SELECT DISTINCT src, dst FROM e WHERE type IN ('CALLS', 'REFERENCES', 'ACCESSES', 'EXTENDS', 'IMPLEMENTS', 'METHOD_OVERRIDES', 'METHOD_IMPLEMENTS') AND src IS NOT NULL AND dst IS NOT NULL AND src <> dst),
   u AS (SELECT r.dst AS id, coalesce(f.file_path, '') AS src_file FROM r LEFT JOIN n f ON f.id = r.src),
   x AS (SELECT n.id, coalesce(is_exported, FALSE) AS exported, bool_or(u.id IS NOT NULL) AS a, bool_or(u.id IS NOT NULL AND u.src_file <> coalesce(n.file_path, '')) AS c, any_value(repo_uri) AS repo_uri
-    FROM n LEFT JOIN u ON u.id = n.id WHERE kind IN ({', '.join(f"'{t}'" for t in N.SYMBOLS)}) GROUP BY 1, 2),
+    FROM n LEFT JOIN u ON u.id = n.id WHERE kind IN ('Function', 'Method', 'Constructor', 'Class', 'Interface', 'Struct', 'Trait', 'TypeAlias', 'Enum') GROUP BY 1, 2),
   dead AS (SELECT id, repo_uri, CASE WHEN exported AND NOT c THEN 'unreachable-export' WHEN NOT exported AND NOT a THEN 'dead' ELSE 'live' END AS deadness FROM x)"""
 
 

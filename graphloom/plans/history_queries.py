@@ -72,7 +72,7 @@ def _(s, d):
     return T.top_contributor(commits(s, d))
 
 
-@q("t12_cochange", f"""WITH {C_SQL}, f AS (SELECT DISTINCT sha, file FROM c), t AS (SELECT count(DISTINCT sha) AS total FROM c), k AS (SELECT file, count(*) AS k FROM f GROUP BY 1),
+@q("t12_cochange", f"""WITH {C_SQL}, f0 AS (SELECT DISTINCT sha, file FROM c), f AS (SELECT * FROM f0 WHERE sha IN (SELECT sha FROM f0 GROUP BY 1 HAVING count(*) <= 100)), t AS (SELECT count(DISTINCT sha) AS total FROM c), k AS (SELECT file, count(*) AS k FROM f GROUP BY 1),
   p AS (SELECT a.file AS x, b.file AS y, count(*) AS co FROM f a JOIN f b ON a.sha = b.sha AND a.file < b.file GROUP BY 1, 2)
   SELECT x AS source_file, y AS target_file, co AS cocommit_count, i.k AS total_commits_source, j.k AS total_commits_target, floor(co * total / (i.k * j.k) * 10000.0 + 0.5) / 10000.0 AS lift
   FROM p JOIN k i ON i.file = x JOIN k j ON j.file = y, t""")
@@ -156,19 +156,6 @@ def _(s, d):
 _TOK = "list_filter(string_split(lower(regexp_replace(coalesce({c}, ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
 
 
-@q("r01_bm25", f"""WITH w AS (SELECT doc_id AS id, {_TOK.format(c="concat_ws(' ', title, text)")} AS w FROM documents), l AS (SELECT id, len(w) AS len FROM w),
-  p AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM w) GROUP BY 1, 2), st AS (SELECT count(*) AS n, avg(len) AS av FROM l),
-  qs AS (SELECT DISTINCT item_id AS qid, unnest(list_slice({_TOK.format(c='text')}, 1, 3)) AS term FROM eval_items), need AS (SELECT qid, count(*) AS terms FROM qs GROUP BY 1),
-  f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-  s AS (SELECT qid, p.id, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av)) AS s FROM qs JOIN p USING (term) JOIN f USING (term) JOIN l ON l.id = p.id, st),
-  h AS (SELECT qid, id, sum(s) AS score, count(*) AS k FROM s GROUP BY 1, 2), r AS (SELECT h.*, row_number() OVER (PARTITION BY qid ORDER BY floor(score * 1e9) DESC, id) AS pos FROM h JOIN need USING (qid) WHERE k = terms)
-  SELECT qid, id, round(score, 6) AS score FROM r WHERE pos <= 50""")
-def _(s, d):
-    first3 = F.array_join(F.slice(R.tokens(F.col("text")), 1, 3), " ")
-    qs = table(s, d, "eval_items").select(F.col("item_id").alias("qid"), first3.alias("text"))
-    return R.bm25(table(s, d, "documents"), "doc_id", ["title", "text"], qs).select("qid", "id", F.round("score", 6).alias("score"))
-
-
 @q("r02_knn", """WITH x AS (SELECT a.vec_id AS qid, b.vec_id AS id, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
   SELECT qid, id, round(dist, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), id) AS r FROM x) WHERE r <= 10""")
 def _(s, d):

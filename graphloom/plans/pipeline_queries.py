@@ -19,13 +19,18 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return H.descendants(H.hierarchies(H.hierarchy_links(table(spark, d, "edges")), with_paths=True))
+    return H.descendants(H.hierarchy_links(table(spark, d, "edges")))
 
 
 def p3_cycles(spark: SparkSession, d: str) -> DataFrame:
     return H.cycles(H.hierarchies(H.hierarchy_links(table(spark, d, "edges"))))
 
 
+def p3_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """Links of ids with several parents that the hierarchies do not follow."""
+    return H.dropped_links(H.hierarchy_links(table(spark, d, "edges")))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return O.orphan_references(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "external_symbols"))
 
@@ -92,6 +97,7 @@ QUERIES = {
     "p3_paths": p3_paths,
     "p3_descendants": p3_descendants,
     "p3_cycles": p3_cycles,
+    "p3_dropped": p3_dropped,
     "p5_found": p5_found,
     "p5_report": p5_report,
 }
@@ -100,9 +106,20 @@ SQL = {
     "p3_found": f"WITH RECURSIVE {_LINKS} SELECT hierarchy, node_id, root_id, depth FROM found",
     "p3_paths": f"""WITH RECURSIVE {_LINKS} SELECT f.hierarchy, f.node_id, f.root_id, f.depth, t.path
         FROM found f LEFT JOIN trees t ON t.hierarchy = f.hierarchy AND t.id = f.node_id""",
-    "p3_descendants": f"""WITH RECURSIVE {_LINKS} SELECT hierarchy, node_id, descendant_id, len(path) - pos AS distance FROM (
+    # below trees by their paths; on and below cycles by walking down until the walk meets its start or a place it knows
+    "p3_descendants": f"""WITH RECURSIVE {_LINKS},
+        down AS (
+          SELECT f.hierarchy, f.node_id, l.child AS cur, 1 AS distance FROM found f JOIN links l ON l.hierarchy = f.hierarchy AND l.parent = f.node_id
+          WHERE f.depth < 0 AND l.child <> f.node_id
+          UNION ALL
+          SELECT d.hierarchy, d.node_id, l.child, d.distance + 1 FROM down d JOIN links l ON l.hierarchy = d.hierarchy AND l.parent = d.cur
+          WHERE l.child <> d.node_id AND l.child <> d.cur)
+        SELECT hierarchy, node_id, descendant_id, len(path) - pos AS distance FROM (
         SELECT hierarchy, id AS descendant_id, path, unnest(path) AS node_id, unnest(range(1, len(path) + 1)) AS pos FROM trees)
-        WHERE pos < len(path)""",
+        WHERE pos < len(path)
+        UNION ALL SELECT hierarchy, node_id, cur, min(distance) FROM down GROUP BY 1, 2, 3""",
+    "p3_dropped": f"""WITH RECURSIVE {_LINKS} SELECT hierarchy, child, parent FROM links l
+        WHERE parent > (SELECT min(m.parent) FROM links m WHERE m.hierarchy = l.hierarchy AND m.child = l.child)""",
     "p3_cycles": f"""WITH RECURSIVE {_LINKS} SELECT hierarchy, root_id, count(*) FILTER (WHERE depth = -1) AS n_on_cycle,
         count(*) FILTER (WHERE depth = -2) AS n_below FROM found WHERE depth < 0 GROUP BY 1, 2""",
     "p5_found": f"WITH {_ORPHANS} SELECT DISTINCT edge_id, endpoint FROM orphans WHERE cause IS NOT NULL",

@@ -11,7 +11,7 @@ from graphloom.operators import joins as J
 from graphloom.operators import relations as L
 from graphloom.operators import temporal as T
 from graphloom.operators import traversal as TR
-from graphloom.plans.graph_queries import E_SQL, N_SQL, NE, edges, nodes
+from graphloom.plans.graph_queries import E_SQL, N_SQL, NE, S0_SQL, STARTS, edges, nodes
 from graphloom.runtime import table
 from graphloom.sources import readers, store
 
@@ -62,13 +62,13 @@ def _(s, d):
     return table(s, d, "events").groupBy(F.to_date("ts").alias("day")).agg(n("error").alias("errors"), n("view").alias("views"), n("purchase").alias("purchases"), F.count(F.lit(1)).alias("total"))
 
 
-@q("a09_affected_modules", f"""WITH {NE}, st AS (SELECT DISTINCT dst AS a, src AS b FROM e WHERE type IN ('CALLS', 'EXTENDS') AND src <> dst), s0 AS (SELECT id FROM n WHERE kind = 'Struct'),
-  one AS (SELECT DISTINCT s0.id AS start, b FROM s0 JOIN st ON a = s0.id), two AS (SELECT DISTINCT start, st.b FROM one JOIN st ON a = one.b WHERE st.b <> start),
+@q("a09_affected_modules", f"""WITH {NE}, st AS (SELECT DISTINCT dst AS a, src AS b FROM e WHERE type IN ('CALLS', 'EXTENDS') AND src <> dst), {S0_SQL},
+  one AS (SELECT DISTINCT s0.start, b FROM s0 JOIN st ON a = s0.start), two AS (SELECT DISTINCT start, st.b FROM one JOIN st ON a = one.b WHERE st.b <> start),
   h AS (SELECT start, b, min(depth) AS depth FROM (SELECT start, b, 1 AS depth FROM one UNION ALL SELECT start, b, 2 FROM two) GROUP BY 1, 2)
   SELECT h.start, n.repo_uri AS module, count(*) AS hits, bool_or(depth = 1) AS direct FROM h JOIN n ON n.id = h.b WHERE n.repo_uri IS NOT NULL GROUP BY 1, 2""")
 def _(s, d):
     n = nodes(s, d)
-    hit = TR.traverse(edges(s, d), n.where("kind = 'Struct'").select(F.col("id").alias("start")), ["CALLS", "EXTENDS"], "up", 2)
+    hit = TR.traverse(edges(s, d), TR.query_set(n, STARTS), ["CALLS", "EXTENDS"], "up", 2)
     j = hit.join(n.select(F.col("id").alias("node_id"), F.col("repo_uri").alias("module")), "node_id").where("module is not null")
     return j.groupBy("start", "module").agg(F.count(F.lit(1)).alias("hits"), F.bool_or(F.col("depth") == 1).alias("direct"))
 

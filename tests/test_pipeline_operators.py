@@ -57,12 +57,41 @@ def test_hierarchies_match_a_walk(spark, seed):
     assert len(got) == len(want)
 
 
+def below(links):
+    """(hierarchy, id, descendant, steps) by walking down."""
+    up, kids = {}, {}
+    for h, c, p in links:
+        up[(h, c)] = min(p, up.get((h, c), p))
+    for (h, c), p in up.items():
+        kids.setdefault((h, p), []).append(c)
+    out = set()
+    for h, i in {(h, x) for h, c, p in links for x in (c, p)}:
+        level, steps, seen = [i], 0, {i}
+        while level:
+            steps += 1
+            level = [c for x in level for c in kids.get((h, x), []) if c not in seen]
+            seen |= set(level)
+            out |= {(h, i, c, steps) for c in level}
+    return out
+
+
 def test_descendants_and_cycles(spark):
-    rows = [("containment", "b", "a"), ("containment", "c", "b"), ("containment", "d", "b"), ("containment", "p", "q"), ("containment", "q", "p"), ("containment", "r", "q")]
-    full = H.hierarchies(links_df(spark, rows), with_paths=True)
-    got = {(r.node_id, r.descendant_id, r.distance) for r in H.descendants(full).collect()}
-    assert got == {("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)}
-    assert [tuple(r) for r in H.cycles(full).collect()] == [("containment", "p", 2, 1)]
+    rows = [("containment", "b", "a"), ("containment", "c", "b"), ("containment", "d", "b"), ("containment", "p", "q"), ("containment", "q", "p"), ("containment", "r", "q"), ("containment", "s", "r")]
+    df = links_df(spark, rows)
+    got = {(r.node_id, r.descendant_id, r.distance) for r in H.descendants(df).collect()}
+    assert got == {
+        ("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1),
+        ("p", "q", 1), ("q", "p", 1), ("q", "r", 1), ("p", "r", 2), ("r", "s", 1), ("q", "s", 2), ("p", "s", 3),
+    }
+    assert [tuple(r) for r in H.cycles(H.hierarchies(df)).collect()] == [("containment", "p", 2, 2)]
+
+
+def test_descendants_match_a_walk(spark):
+    rows = random_links(4, 60) + [("containment", "n1", "n59"), ("containment", "m", "k"), ("containment", "m", "j")]
+    got = H.descendants(links_df(spark, rows + rows[:5])).collect()
+    assert {tuple(r) for r in got} == below(rows) and len(got) == len(below(rows))
+    assert {tuple(r) for r in H.dropped_links(links_df(spark, rows * 2)).collect()} == {(h, c, p) for h, c, p in rows if p > min(q for g, d, q in rows if (g, d) == (h, c))}
+    assert H.descendants(links_df(spark, [])).count() == 0 and H.dropped_links(links_df(spark, [])).count() == 0
 
 
 def test_hierarchy_edge_cases(spark, make):
