@@ -27,5 +27,27 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return M.shares(p8_mix(spark, d), spark.read.parquet(f"{d}/mix_targets.parquet"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares}
-SQL: dict = {}
+def p8_shards(spark: SparkSession, d: str) -> DataFrame:
+    """The draw of every output shard."""
+    p = M.planned(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/mix_targets.parquet"))
+    return M.shard_counts(p.slots)
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per source whether the cap on repeats and the target share (within a hundredth of the total) are kept."""
+    docs, targets = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/mix_targets.parquet")
+    told = M.shares(M.mix(docs, targets), targets)
+    have = docs.where("text is not null and text <> ''").select(M.tidy(F.col("source")).alias("source")).distinct().withColumn("has", F.lit(True))
+    caps = targets.select(M.tidy(F.col("source")).alias("source"), "max_repeats")
+    live = told.join(F.broadcast(caps), "source").join(have, "source", "left")
+    scale = live.where("has").agg(F.sum("target_share")).first()[0] or 1.0
+    fit = F.when(F.col("has"), F.abs(F.col("actual_share") - F.col("target_share") / F.lit(scale)) <= 0.01).otherwise(F.col("n_records") == 0)
+    return live.select("source", (F.col("max_used") <= F.col("max_repeats")).alias("within_cap"), fit.alias("share_kept"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_shards": p8_shards, "p8_kept": p8_kept}
+SQL: dict = {
+    # the operator's promise for every target source
+    "p8_kept": """SELECT DISTINCT regexp_replace(lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))), '[ -]+', '_', 'g') AS source, true AS within_cap, true AS share_kept
+        FROM mix_targets WHERE source IS NOT NULL""",
+}

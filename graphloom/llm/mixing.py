@@ -1,10 +1,12 @@
 """Mixing sources to target weights.
 
-The records of a source are laid end to end in a pseudorandom order and packed into blocks of a fixed
-number of tokens.  Every output shard draws how many of its slots each source gets: a multinomial draw
-on the condition that the totals over all shards meet the targets, made by splitting the totals down a
-binary tree of shards.  A slot's ordinal within its source goes through a pseudorandom permutation of
-the block indexes, one per source and pass, and the blocks are joined by index.
+The records of a source are laid end to end in a pseudorandom order, and the stream of their tokens is
+cut into blocks of a fixed number of tokens; a block lists the pieces of records it holds, and only the
+last block of a source may be shorter.  Every output shard draws how many of its slots each source gets:
+a multinomial draw on the condition that the totals over all shards meet the targets.  It is made by one
+pseudorandom permutation of all slots: what a slot is sent to names the source and the ordinal of the
+slot within it, so shards agree without talking to each other, at any size.  The ordinal goes through a
+pseudorandom permutation of the block indexes, one per source and pass, and the blocks are joined by index.
 
 Nothing is sorted over a whole source: records fall into hash ranges of bounded size, whose totals give
 the offsets at which each range starts.
@@ -13,19 +15,20 @@ the offsets at which each range starts.
 from __future__ import annotations
 
 import base64
-import math
+import os
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.runtime import Staging, small
 
-#: A public byte-level BPE of 50,256 ranks; the place of the vocabulary file is a parameter.
+#: A public byte-level BPE of 50,256 ranks; the place of the vocabulary file on the driver is a parameter.  It is shipped with the job.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern that belongs to that vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -73,47 +76,18 @@ def permuted(q: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(shard: int, n_shards: int, slots: int, totals: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """How many slots of one shard each source gets.
+def shard_slots(shard: int, n_shards: int, totals: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``position, source, ordinal`` of each slot of a shard.
 
-    All shards have ``ceil(slots / n_shards)`` slots or one less.  The totals are split down a binary
-    tree; each node's split is a hypergeometric draw seeded by the node, so shards agree without
-    talking to each other and their sum is exactly ``totals``.
+    All shards have ``ceil(slots / n_shards)`` slots or one less.  Over all shards each source i gets each
+    ordinal below ``totals[i]`` exactly once, and which shard gets how many is a random draw.
     """
-    start = lambda s: s * slots // n_shards
-    lo, hi, mine = 0, n_shards, np.asarray(totals, dtype=np.int64)
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        left = _split(rng, mine, start(mid) - start(lo))
-        if shard < mid:
-            mine, hi = left, mid
-        else:
-            mine, lo = mine - left, mid
-    return mine
-
-
-def _split(rng: np.random.Generator, totals: np.ndarray, take: int) -> np.ndarray:
-    out = np.zeros(len(totals), dtype=np.int64)
-    rest = int(totals.sum())
-    for i, t in enumerate(totals.tolist()):
-        if take <= 0:
-            break
-        other = rest - t
-        if t and other:
-            # beyond the generator's range a normal draw has the same mean and variance
-            if rest < 1_000_000_000:
-                k = int(rng.hypergeometric(t, other, take))
-            else:
-                mean = take * t / rest
-                k = int(round(rng.normal(mean, math.sqrt(max(0.0, mean * (other / rest) * (rest - take) / (rest - 1))))))
-                k = min(max(k, 0, take - other), t, take)
-        else:
-            k = min(t, take)
-        out[i] = k
-        take -= k
-        rest = other
-    return out
+    slots = int(totals.sum())
+    at = np.arange(shard * slots // n_shards, (shard + 1) * slots // n_shards, dtype=np.int64)
+    to = permuted(at, np.full(len(at), slots), np.full(len(at), seed))
+    starts = np.concatenate([[0], np.cumsum(totals)])
+    source = np.searchsorted(starts, to, side="right") - 1
+    return at - (at[0] if len(at) else 0), source, to - starts[source]
 
 
 def plan(stats: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int]]:
@@ -137,9 +111,12 @@ def plan(stats: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int
 def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, source, n_tokens`` of the records with an id, a source and at least one token."""
 
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
+
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        e = encoder(tokenizer)
+        e = encoder(SparkFiles.get(name))
         return texts.map(lambda t: len(e.encode_ordinary(t)))
 
     return documents.where(F.col("text").isNotNull() & (F.col("text") != "") & F.col("doc_id").isNotNull()).select(
@@ -147,94 +124,96 @@ def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     ).where("source is not null and n_tokens > 0")
 
 
-def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """``doc_id, source, n_tokens, repeats, tokens_used, target_share, actual_share``: the chosen records.
+class Plan:
+    """What a mix is made of: ``pieces`` of records by block, and the ``slots`` of all shards with the block each holds."""
 
-    ``repeats`` is how often a record is used, at most ``max_repeats`` of its source; a record belongs
-    to the block in which it starts.  ``actual_share`` is the share of all used tokens that the
-    record's source has.  A source that has records but no target, or a target but no records, gives
-    no rows; the other shares are then scaled up alike.  Null and empty texts, and null sources, are
-    not chosen.  Should a document id or a target be listed twice, each row counts by itself, and the
-    targets of a source add up (with the smaller ``max_repeats``).
-    """
+    def __init__(self, pieces: DataFrame, slots: DataFrame, goal: dict[str, float]) -> None:
+        self.pieces, self.slots, self.goal = pieces, slots, goal
+
+
+PIECES = "doc_id long, source string, n_tokens long, block long, first_token long, piece_tokens long"
+SLOTS = "shard long, slot long, source string, block long"
+
+
+def planned(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> Plan:
+    """Lays the records out in blocks and the slots over the sources; see :func:`mix` for the cases."""
     spark = documents.sparkSession
     st = Staging(spark, "mix")
     wanted = targets.select(tidy(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null").groupBy("source").agg(
         F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats")
     )
     goal = {r["source"]: (r["target_share"], r["max_repeats"]) for r in small(wanted, SOURCES, "mix_targets")}
-    docs = st.cut(sized(documents, tokenizer).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "n_tokens")), "sized")
-    have = {
-        r["source"]: (r["n"], r["t"])
-        for r in docs.where(F.col("source").isin(list(goal))).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect()
-    } if goal else {}
-    planned = plan([(s, p, r, -(-have[s][1] // block_tokens)) for s, (p, r) in sorted(goal.items()) if s in have])
-    schema = "doc_id long, source string, n_tokens long, repeats long, tokens_used long, target_share double, actual_share double"
-    if not planned:
-        return spark.createDataFrame([], schema)
-    info = spark.createDataFrame(
-        [(i, s, float(goal[s][0]), k, -(-have[s][1] // block_tokens), max(1, -(-have[s][0] // RANGE_RECORDS))) for i, (s, _, k) in enumerate(planned)],
-        "i int, source string, target_share double, slots long, n_blocks long, n_ranges long",
-    )
-
-    # records to blocks: offsets within a range, and totals of the ranges before it
+    docs = st.cut(sized(documents, tokenizer).where(F.col("source").isin(list(goal))).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "n_tokens")), "sized")
+    have = {r["source"]: (r["n"], r["t"]) for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect()}
+    given = plan([(s, p, r, -(-have[s][1] // block_tokens)) for s, (p, r) in sorted(goal.items()) if s in have])
+    shares_ = {s: goal[s][0] for s, _, _ in given}
+    if not given:
+        return Plan(spark.createDataFrame([], PIECES), spark.createDataFrame([], SLOTS), {})
+    info = spark.createDataFrame([(s, max(1, -(-have[s][0] // RANGE_RECORDS))) for s, _, _ in given], "source string, n_ranges long")
+
+    # where each record starts in the stream of its source: offsets within a range, and totals of the ranges before it
     unit = (F.shiftrightunsigned(F.col("h"), 11).cast("double")) * F.lit(2.0**-53)
-    ranged = docs.join(F.broadcast(info.select("source", "n_ranges")), "source").withColumn(
-        "range", F.least(F.floor(unit * F.col("n_ranges")), F.col("n_ranges") - 1)
-    )
+    ranged = docs.join(F.broadcast(info), "source").withColumn("range", F.least(F.floor(unit * F.col("n_ranges")), F.col("n_ranges") - 1))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("source", "range").agg(F.sum("n_tokens").alias("t")).select(
         "source", "range", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base")
     )
     inner = Window.partitionBy("source", "range").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = ranged.withColumn("upto", F.sum("n_tokens").over(inner)).join(totals, ["source", "range"]).select(
-        "doc_id", "source", "n_tokens", F.floor((F.col("base") + F.col("upto") - F.col("n_tokens")) / F.lit(block_tokens)).cast("long").alias("block")
+    start = F.col("base") + F.col("upto") - F.col("n_tokens")
+    laid = ranged.withColumn("upto", F.sum("n_tokens").over(inner)).join(totals, ["source", "range"]).select("doc_id", "source", "n_tokens", start.alias("start"))
+    # a record spans one block or several
+    size = F.lit(block_tokens)
+    cut = laid.select("*", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n_tokens") - 1) / size))).alias("block"))
+    first = F.greatest(F.col("block") * size - F.col("start"), F.lit(0))
+    pieces = cut.select(
+        "doc_id", "source", "n_tokens", "block", first.alias("first_token"), (F.least((F.col("block") + 1) * size - F.col("start"), F.col("n_tokens")) - first).alias("piece_tokens")
     )
-
-    laid = st.cut(laid, "laid")
-    loads = st.cut(laid.groupBy("source", "block").agg(F.sum("n_tokens").alias("load")), "loads")
-    split = np.array([k for _, _, k in planned], dtype=np.int64)
-    uses = _uses(spark, info, split, seed)
-    # blocks hold whole records, so their loads differ: one correction of the slots by what was drawn
-    drawn = {r["source"]: r["t"] for r in uses.join(loads, ["source", "block"]).groupBy("source").agg(F.sum(F.col("repeats") * F.col("load")).alias("t")).collect()}
-    size = min(have[s][1] * goal[s][1] / p for s, p, _ in planned)
-    fair = [(min(goal[s][1] * -(-have[s][1] // block_tokens), round(k * p * size / drawn[s])) if drawn.get(s) else k) for s, p, k in planned]
-    uses = _uses(spark, info, np.array(fair, dtype=np.int64), seed)
-    chosen = st.cut(laid.join(uses, ["source", "block"]).select(
-        "doc_id", "source", "n_tokens", "repeats", (F.col("repeats") * F.col("n_tokens")).alias("tokens_used")
-    ), "chosen")
-    shares = chosen.groupBy("source").agg(F.sum("tokens_used").alias("t"))
-    shares = shares.select("source", (F.col("t") / F.sum("t").over(Window.partitionBy())).alias("actual_share"))
-    told = info.select("source", "target_share").join(shares, "source")
-    return chosen.join(F.broadcast(told), "source").select(*[c.split()[0] for c in schema.split(", ")])
-
-
-def _uses(spark: SparkSession, info: DataFrame, split: np.ndarray, seed: int) -> DataFrame:
-    """``source, block, repeats``: shards to slots, slots through the permutations to blocks."""
-    slots = int(split.sum())
-    n_shards = max(1, -(-slots // SLOTS_PER_SHARD))
+    names = [s for s, _, _ in given]
+    split = np.array([k for _, _, k in given], dtype=np.int64)
+    n_blocks = np.array([-(-have[s][1] // block_tokens) for s in names], dtype=np.int64)
+    n_shards = max(1, -(-int(split.sum()) // SLOTS_PER_SHARD))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for shard in b["id"]:
-                got = shard_counts(int(shard), n_shards, slots, split, seed)
-                yield pd.DataFrame({"shard": int(shard), "i": np.arange(len(got), dtype=np.int32), "n": got})
+                slot, i, q = shard_slots(int(shard), n_shards, split, seed)
+                nb = n_blocks[i].astype(np.uint64)
+                q = q.astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    key = (q // nb) * np.uint64(0x2545F4914F6CDD1D) + i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+                yield pd.DataFrame({"shard": int(shard), "slot": slot, "source": [names[x] for x in i], "block": permuted(q % nb, nb, key)})
 
-    drawn = spark.range(n_shards).mapInPandas(draw, "shard long, i int, n long")
-    earlier = Window.partitionBy("i").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where("n > 0")
+    return Plan(st.cut(pieces, "pieces"), spark.range(n_shards).mapInPandas(draw, SLOTS), shares_)
 
-    @F.pandas_udf("long")
-    def block_of(q: pd.Series, n: pd.Series, i: pd.Series) -> pd.Series:
-        nb = n.to_numpy(dtype=np.uint64)
-        qq = q.to_numpy(dtype=np.uint64)
-        key = (qq // nb) * np.uint64(0x2545F4914F6CDD1D) + i.to_numpy(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
-        return pd.Series(permuted(qq % nb, nb, key))
-
-    slot = drawn.join(F.broadcast(info.select("i", "source", "n_blocks")), "i").select(
-        "i", "source", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("q")
+
+def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+    """``doc_id, source, n_tokens, repeats, tokens_used, target_share, actual_share``: the chosen records.
+
+    ``repeats`` is how often a record is used, at most ``max_repeats`` of its source: of the pieces that
+    blocks cut it into, the one that is used most often.  ``actual_share`` is the share of all used
+    tokens that the record's source has.  A source that has records but no target, or a target but no
+    records, gives no rows; the other shares are then scaled up alike.  Null and empty texts, and null
+    sources, are not chosen.  Should a document id or a target be listed twice, each row counts by itself
+    (rows alike in id, source and size come out as one, with the sums), and the targets of a source add
+    up (with the smaller ``max_repeats``).
+    """
+    p = planned(documents, targets, tokenizer, block_tokens, seed)
+    # blocks by index: each with how often a slot holds it
+    uses = p.slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("uses"))
+    used = p.pieces.join(uses, ["source", "block"])
+    chosen = Staging(documents.sparkSession, "mixed").cut(
+        used.groupBy("doc_id", "source", "n_tokens").agg(F.max("uses").alias("repeats"), F.sum(F.col("uses") * F.col("piece_tokens")).alias("tokens_used")), "chosen"
+    )
+    got = {r["source"]: r["t"] for r in chosen.groupBy("source").agg(F.sum("tokens_used").alias("t")).collect()}
+    told = documents.sparkSession.createDataFrame(
+        [(s, float(p.goal[s]), t / sum(got.values())) for s, t in got.items()], "source string, target_share double, actual_share double"
     )
-    return slot.select("source", block_of("q", "n_blocks", F.col("i").cast("long")).alias("block")).groupBy("source", "block").agg(F.count(F.lit(1)).alias("repeats"))
+    return chosen.join(F.broadcast(told), "source").select("doc_id", "source", "n_tokens", "repeats", "tokens_used", "target_share", "actual_share")
+
+
+def shard_counts(slots: DataFrame) -> DataFrame:
+    """``shard, source, n_slots, n_blocks``: what each output shard draws of each source, and of how many blocks."""
+    return slots.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("n_slots"), F.count_distinct("block").alias("n_blocks"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

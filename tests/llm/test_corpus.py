@@ -79,12 +79,28 @@ def test_permutations_are_permutations():
             assert sorted(M.permuted(q, np.full(n, n), np.full(n, key, dtype=np.uint64))) == list(range(n))
 
 
-def test_shards_add_up():
-    totals = np.array([700, 0, 301, 17])
-    n, slots = 13, int(totals.sum())
-    parts = [M.shard_counts(s, n, slots, totals, 1) for s in range(n)]
-    assert (sum(parts) == totals).all()
-    assert [int(p.sum()) for p in parts] == [(s + 1) * slots // n - s * slots // n for s in range(n)]
+@pytest.mark.parametrize("totals", [[700, 0, 301, 17], [1], [5, 5], [0, 0]])
+def test_shards_share_out_every_ordinal_once(totals):
+    totals, n = np.array(totals), 13
+    slots = int(totals.sum())
+    parts = [M.shard_slots(s, n, totals, 1) for s in range(n)]
+    assert [len(p[0]) for p in parts] == [(s + 1) * slots // n - s * slots // n for s in range(n)]
+    assert all(p[0].tolist() == list(range(len(p[0]))) for p in parts)
+    got = sorted((int(i), int(q)) for _, src, o in parts for i, q in zip(src, o))
+    assert got == [(i, q) for i, t in enumerate(totals) for q in range(t)]
+
+
+def test_shards_draw_like_a_multinomial():
+    totals = np.array([40_000, 60_000])
+    draws = np.array([(M.shard_slots(s, 100, totals, 7)[1] == 0).sum() for s in range(100)])
+    # hypergeometric: mean 400, variance 1000 * 0.4 * 0.6 * 0.99
+    assert abs(draws.mean() - 400) < 1e-9 and 9 < draws.std() < 23
+
+
+def test_large_totals_are_exact():
+    totals = np.array([3_000_000_000_000, 2_000_000_000_001])
+    at, src, q = M.shard_slots(1_000_000, 1_200_000_000, totals, 3)
+    assert len(at) in (4166, 4167) and ((q >= 0) & (q < totals[src])).all() and 0.5 < (src == 0).mean() < 0.7
 
 
 def test_plan():
@@ -101,12 +117,29 @@ def test_mix_meets_its_targets(spark):
     mixed = M.mix(docs, goals)
     got = mixed.collect()
     assert got and {r.source for r in got} == {"wiki", "adr"} and len({r.doc_id for r in got}) == len(got)
-    assert all(r.repeats <= {"wiki": 1, "adr": 4}[r.source] and r.tokens_used == r.repeats * r.n_tokens for r in got)
+    assert all(r.repeats <= {"wiki": 1, "adr": 4}[r.source] and 0 < r.tokens_used <= r.repeats * r.n_tokens for r in got)
     total = sum(r.tokens_used for r in got)
     for s, share in (("wiki", 2 / 3), ("adr", 1 / 3)):
         used = sum(r.tokens_used for r in got if r.source == s) / total
         assert abs(used - share) < 0.03 and all(abs(r.actual_share - used) < 1e-9 for r in got if r.source == s)
     told = {r.source: r for r in M.shares(mixed, goals).collect()}
+    # blocks: every token of every record in exactly one, all of one size but the last of each source
+    p = M.planned(docs, goals, block_tokens=64)
+    pieces = p.pieces.collect()
+    by_doc, load = {}, {}
+    for x in pieces:
+        by_doc.setdefault((x.doc_id, x.n_tokens), []).append((x.first_token, x.piece_tokens))
+        load[x.source, x.block] = load.get((x.source, x.block), 0) + x.piece_tokens
+    for (_, n), parts in by_doc.items():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + k == b for (a, k), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) == n
+    for s in ("wiki", "adr"):
+        sizes = [load[s, b] for b in range(max(b for t, b in load if t == s) + 1)]
+        assert set(sizes[:-1]) == {64} and 0 < sizes[-1] <= 64
+    slots = p.slots.collect()
+    assert len({(x.shard, x.slot) for x in slots}) == len(slots)
+    drawn = {(r.shard, r.source): r.n_slots for r in M.shard_counts(p.slots).collect()}
+    assert sum(drawn.values()) == len(slots)
     assert told["ghost"].n_records == 0 and told["ghost"].actual_share == 0
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, M.mix(docs, goals).collect()))
     assert M.mix(docs.limit(0), goals).count() == 0 and M.mix(docs, goals.limit(0)).count() == 0
