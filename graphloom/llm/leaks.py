@@ -38,7 +38,8 @@ LOT_CHARS = 2_000_000
 WALKS, SAMPLINGS, POSITIONS = 4, 5, 4
 #: Items that must open alike for the opening to be a standard instruction, and its least words.
 SHARED_OPENING, OPENING_WORDS = 3, 5
-#: Words of its own that a window with part of the instruction must hold.
+#: Words of its own that a window with part of the instruction must hold.  Fewer are the stock openings of other
+#: questions after the same instruction, not a passage of this item.
 OWN_WORDS = 8
 
 _ESCAPES = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
@@ -261,40 +262,55 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFra
     """
     rows = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
     n_blocks = max(1, -(-rows.count() // block))
-    openers = openings_of(rows)
+    led = with_leads(rows)
     out: DataFrame | None = None
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     docs = spread(docs)
     for b in range(n_blocks):
-        mine = [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()]
-        part = docs.mapInPandas(_searcher(mine, openers), "doc_id long, item_id long")
+        mine = [(r["item_id"], r["text"], r["lead"]) for r in led.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()]
+        # a block has a bound; it is sent to each executor once
+        sent = documents.sparkSession.sparkContext.broadcast(mine)
+        part = docs.mapInPandas(_searcher(sent), "doc_id long, item_id long")
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 
 
-def openings_of(rows: DataFrame) -> set[tuple[str, ...]]:
-    """The standard instructions: openings up to a sentence's end that several items share."""
+def with_leads(rows: DataFrame) -> DataFrame:
+    """``item_id, text, lead``: how many words of each item are a standard instruction.
 
-    @F.pandas_udf("array<string>")
+    That is the longest opening, up to any end of a sentence, that several items share, whatever number of
+    sentences it has; an item that is nothing else has none.
+    """
+
+    @F.pandas_udf("array<struct<h:long,n:int>>")
     def heads(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
-            ends = [m.end() for m in re.finditer(r"[.!?:](?=\s)", t)][:6]
-            out.append([" ".join(w) for w in (words_of(t[:e]) for e in ends) if len(w) >= OPENING_WORDS])
+            words, n, at, done, got = words_of(t), 0, 0, 0, []
+            h = xxhash.xxh64()
+            for m in re.finditer(r"[.!?:](?=\s)", t):
+                n += len(words_of(t[at:m.end()]))
+                at = m.end()
+                if n >= len(words):
+                    break
+                for w in words[done:n]:
+                    h.update(w + " ")
+                done = n
+                if n >= OPENING_WORDS:
+                    got.append({"h": h.intdigest() - (1 << 63), "n": n})
+            out.append(got)
         return pd.Series(out)
 
-    counted = rows.select(F.explode(heads("text")).alias("head")).groupBy("head").count().where(F.col("count") >= SHARED_OPENING)
-    # an opening needs several items, so there are fewer openings than a third of the items of all blocks
-    return {tuple(r["head"].split(" ")) for r in counted.orderBy(F.desc("count"), "head").limit(10_000).collect()}
+    opened = rows.select("item_id", "text", F.explode(heads("text")).alias("o")).select("item_id", "text", "o.h", "o.n")
+    shared = opened.groupBy("h", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED_OPENING)
+    longest = opened.join(shared, ["h", "n"]).groupBy("item_id", "text").agg(F.max("n").alias("lead"))
+    return rows.join(longest, ["item_id", "text"], "left").select("item_id", "text", F.coalesce("lead", F.lit(0)).alias("lead"))
 
 
-def _searcher(rows: list[tuple[int, str]], openers: set[tuple[str, ...]]):
+def _searcher(sent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lead = {}
-        for i, (_, t) in enumerate(rows):
-            w = words_of(t)
-            lead[i] = max((len(o) for o in openers if len(o) < len(w) and tuple(w[:len(o)]) == o), default=0)
-        index = ItemIndex(rows, lead)
+        rows = [(i, t) for i, t, _ in sent.value]
+        index = ItemIndex(rows, {k: n for k, (_, _, n) in enumerate(sent.value)})
         for b in batches:
             # texts of some megabytes at once, however long single ones are
             ids, texts = b["doc_id"].tolist(), b["text"].tolist()

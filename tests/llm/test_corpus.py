@@ -56,6 +56,13 @@ def test_leaks_match_brute_force(spark):
     assert L.leaks(df.limit(0), it).count() == 0 and L.leaks(df, it.limit(0)).count() == 0
 
 
+def test_instructions_of_any_number_of_sentences(spark):
+    lead = " ".join(f"Rule {i} says w{i} x{i}." for i in range(12))
+    rows = [(i, f"{lead} {item(50 + i, 30)} end.") for i in range(3)] + [(9, item(70, 12) + ". " + item(71, 12)), (10, ""), (11, lead)]
+    got = {r.item_id: r.lead for r in L.with_leads(spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    assert got == {0: 60, 1: 60, 2: 60, 9: 0, 10: 0, 11: 55}
+
+
 def test_recall_of_the_sampling():
     rng = random.Random(5)
     items = [(i, item(i, 60)) for i in range(40)]
