@@ -27,6 +27,9 @@ from graphloom.runtime import Staging
 #: Rounds before the contraction gives up; 2^64 nodes in one chain need fewer.
 MAX_ROUNDS = 200
 
+#: Tables that the steps back read before they are merged.
+PARTS = 4
+
 #: Edge type -> (hierarchy, whether src is the parent).
 HIERARCHIES = {
     "CONTAINS": ("containment", True),
@@ -96,6 +99,8 @@ def hierarchies(links: DataFrame, with_paths: bool = False) -> DataFrame:
     seg = ["seg"] if with_paths else []
 
     spliced: list[tuple[int, DataFrame]] = []
+    with_rake: set[int] = set()
+    rooted: list[int] = []
     records: list[DataFrame] = []
     left = names.count()
     done = None
@@ -123,6 +128,10 @@ def hierarchies(links: DataFrame, with_paths: bool = False) -> DataFrame:
         gone = counts["rake"] + counts["splice"] + counts["root"]
         record = marked.where("what in ('rake', 'splice', 'root')")
         records.append(record)
+        if counts["rake"]:
+            with_rake.add(r)
+        if counts["root"]:
+            rooted.append(r)
         if counts["splice"]:
             spliced.append((r, marked.where("what = 'splice'")))
         left -= gone
@@ -150,7 +159,7 @@ def hierarchies(links: DataFrame, with_paths: bool = False) -> DataFrame:
     # what no round could shrink are self-loops, one per cycle (their trees and chains are recorded)
     cores = left
     name_of = names.select("k1", "k2", "node_id")
-    roots = reduce(DataFrame.unionByName, [x.where("what = 'root'").select("k1", "k2") for x in records])
+    roots = reduce(DataFrame.unionByName, [records[r].where("what = 'root'").select("k1", "k2") for r in rooted or [0]])
     known = roots.join(name_of, ["k1", "k2"]).select(
         "k1", "k2", F.col("node_id").alias("root_id"), F.lit(0).alias("depth"),
         *([empty.alias("path")] if with_paths else []),
@@ -171,9 +180,15 @@ def hierarchies(links: DataFrame, with_paths: bool = False) -> DataFrame:
                 *([empty.alias("path")] if with_paths else []),
             )
         )
-    # the steps back: each round adds its own nodes, those found before stay where they were written
-    known = st.cut(known, "known")
+    # the steps back: each round adds its own nodes as a table; a few tables are merged to one, so that each
+    # node is written a logarithmic number of times and no plan reads many tables
     with_splice = {r for r, _ in spliced}
+    parts = [st.cut(known, "known")]
+
+    def add(found: DataFrame, label: str) -> None:
+        parts.append(st.cut(found, label))
+        if len(parts) > PARTS:
+            parts[:] = [st.cut(reduce(DataFrame.unionByName, parts), f"{label}-merged")]
 
     def hang(rec: DataFrame, under: DataFrame) -> DataFrame:
         up = under.select(
@@ -185,14 +200,10 @@ def hierarchies(links: DataFrame, with_paths: bool = False) -> DataFrame:
         )
 
     for i in range(len(records) - 1, -1, -1):
-        rec = records[i]
-        if i in with_splice:
-            # a raked leaf may hang from a node spliced in the same round
-            back = hang(rec.where("what = 'splice'"), known)
-            found = back.unionByName(hang(rec.where("what = 'rake'"), known.unionByName(back)))
-        else:
-            found = hang(rec.where("what = 'rake'"), known)
-        known = known.unionByName(st.cut(found, f"back{i}"))
+        # a raked leaf may hang from a node spliced in the same round: splices come back first
+        for what_left in (["splice"] if i in with_splice else []) + (["rake"] if i in with_rake else []):
+            add(hang(records[i].where(F.col("what") == what_left), reduce(DataFrame.unionByName, parts)), f"back{i}-{what_left}")
+    known = reduce(DataFrame.unionByName, parts)
     if cyc is not None:
         known = known.join(cyc.select("k1", "k2", F.lit(True).alias("on_cycle")), ["k1", "k2"], "left").withColumn(
             "depth", F.when(F.col("on_cycle"), F.lit(-1)).otherwise(F.col("depth"))
