@@ -81,8 +81,8 @@ def name_words(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(s, r"[^A-Za-z0-9]+", " ")), " "), lambda x: x != "")
 
 
-def glob_regex(glob: str) -> str:
-    """A glob as a regular expression: ``**`` crosses folders, ``*`` and ``?`` do not."""
+def glob_regex(glob: str, braces: bool = True) -> str:
+    """A glob as a regular expression: ``**`` crosses folders, ``*`` and ``?`` do not; ``{a,b}`` is a choice if ``braces``."""
     out, i = "", 0
     while i < len(glob):
         if glob.startswith("**/", i):
@@ -93,7 +93,7 @@ def glob_regex(glob: str) -> str:
             out, i = out + "[^/]*", i + 1
         elif glob[i] == "?":
             out, i = out + "[^/]", i + 1
-        elif glob[i] == "{" and "}" in glob[i:]:
+        elif braces and glob[i] == "{" and "}" in glob[i:]:
             j = glob.index("}", i)
             out, i = out + "(?:" + "|".join(re.escape(x) for x in glob[i + 1:j].split(",")) + ")", j + 1
         else:

@@ -47,3 +47,41 @@ def run(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
     if plan.endswith("Command") and not plan.startswith(("Explain", "Describe", "Show")):
         raise NotReadOnly(f"{plan} is not a query")
     return df
+
+
+# First words of graph patterns that read, what must not stand in them, and procedures that may be called.
+PATTERN_ALLOWED = frozenset("match optional return with unwind".split())
+PATTERN_BANNED = frozenset("create merge delete set remove drop alter copy import export checkpoint install detach load foreach".split())
+PATTERN_CALLS = frozenset(("query_fts_index", "query_vector_index"))
+
+
+def check_pattern(text: str) -> str:
+    """A graph pattern that only reads: its first word, the words in it, and the procedures it calls."""
+    bare = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|//[^\n]*|/\*.*?\*/", " ", text, flags=re.S).strip().rstrip(";").strip()
+    words = re.findall(r"[A-Za-z_]\w*", bare.lower())
+    if not words:
+        raise NotReadOnly("empty statement")
+    if ";" in bare:
+        raise NotReadOnly("one statement at a time")
+    calls = [c.lower() for c in re.findall(r"\bcall\s+([\w.]+)", bare, re.I)]
+    for c in calls:
+        if c not in PATTERN_CALLS:
+            raise NotReadOnly(f"{c} may not be called")
+    if words[0] not in PATTERN_ALLOWED and not (words[0] == "call" and calls):
+        raise NotReadOnly(f"statement begins with {words[0]}")
+    # a property may be named like a clause: what follows a dot is no clause
+    for w in re.findall(r"(?<![.\w:])[A-Za-z_]\w*", bare):
+        if w.lower() in PATTERN_BANNED:
+            raise NotReadOnly(f"{w.lower()} is not allowed")
+    return bare
+
+
+RENDERED = 100
+_SAFE = 2**53 - 1
+
+
+def rendered(df: DataFrame, limit: int = RENDERED) -> tuple[list[dict], bool]:
+    """The first ``limit`` rows as plain values, and whether there are more; integers that a double cannot hold become texts."""
+    rows = df.limit(limit + 1).collect()
+    plain = lambda v: str(v) if isinstance(v, int) and not isinstance(v, bool) and abs(v) > _SAFE else v
+    return [{k: plain(v) for k, v in r.asDict().items()} for r in rows[:limit]], len(rows) > limit

@@ -172,7 +172,8 @@ def demote(edges: DataFrame) -> DataFrame:
 
 
 def overrides(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``method, overridden``: a method and the nearest method of the same name in an ancestor class."""
+    """``method, overridden, type, confidence``: METHOD_OVERRIDES of the nearest method of the same name in an ancestor
+    that is no interface (0.9), METHOD_IMPLEMENTS of the one in every ancestor that is (0.95)."""
     from graphloom.operators.hierarchy import hierarchies, hierarchy_links
 
     paths = hierarchies(hierarchy_links(edges, {"EXTENDS": ("inheritance", False)}), with_paths=True)
@@ -181,8 +182,10 @@ def overrides(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     m = own.join(nodes.where(F.col("kind") == "Method").select(F.col("id").alias("dst"), "name"), "dst")
     a = m.select(F.col("src").alias("cls"), F.col("dst").alias("method"), "name")
     b = m.select(F.col("src").alias("anc"), F.col("dst").alias("overridden"), "name")
-    j = a.join(anc, "cls").join(b, ["anc", "name"])
-    return j.groupBy("method").agg(F.min(F.struct("dist", "overridden")).alias("x")).select("method", "x.overridden")
+    kinds = nodes.where(F.col("kind").isin("Interface", "Trait")).select(F.col("id").alias("anc"), F.lit(True).alias("interface"))
+    j = a.join(anc, "cls").join(b, ["anc", "name"]).join(kinds, "anc", "left")
+    near = j.where("interface is null").groupBy("method").agg(F.min(F.struct("dist", "overridden")).alias("x")).select("method", "x.overridden", F.lit("METHOD_OVERRIDES").alias("type"), F.lit(0.9).alias("confidence"))
+    return near.unionByName(j.where("interface").select("method", "overridden", F.lit("METHOD_IMPLEMENTS").alias("type"), F.lit(0.95).alias("confidence")).distinct())
 
 
 def strong_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -213,7 +213,7 @@ def _(s, d):
 _O_SQL = f"""{N_SQL}, df AS (SELECT id || CASE WHEN kind IN ('Function', 'Method') THEN '().' ELSE '#' END AS symbol, file_path, start_line, 0 AS start_char, end_line, 80 AS end_char FROM n WHERE kind IN ('Function', 'Method', 'Class', 'Struct') AND start_line IS NOT NULL AND end_line IS NOT NULL AND file_path IS NOT NULL),
   si AS (SELECT id AS site_id, file_path, start_line, length(name) AS start_char, start_line AS end_line, length(name) + 3 AS end_char FROM n WHERE kind IN ('Property', 'Method') AND start_line IS NOT NULL AND name IS NOT NULL AND file_path IS NOT NULL),
   en AS (SELECT si.site_id, df.symbol, row_number() OVER (PARTITION BY si.site_id ORDER BY df.end_line - df.start_line, df.end_char - df.start_char, df.symbol) AS r FROM si JOIN df ON df.file_path = si.file_path
-    AND (df.start_line < si.start_line OR df.start_line = si.start_line AND df.start_char <= si.start_char) AND (df.end_line > si.end_line OR df.end_line = si.end_line AND df.end_char >= si.end_char) {{0}})"""
+    AND (df.start_line < si.start_line OR df.start_line = si.start_line AND df.start_char <= si.start_char) AND (df.end_line > si.end_line OR df.end_line = si.end_line AND df.end_char >= si.end_char))"""
 
 
 def _occurrences(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -229,27 +229,39 @@ def _occurrences(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return sites, defs
 
 
-@q("j07_enclosing_range", f"WITH {_O_SQL.format('')} SELECT site_id, symbol FROM en WHERE r = 1")
+@q("j07_enclosing_range", f"WITH {_O_SQL} SELECT site_id, symbol FROM en WHERE r = 1")
 def _(s, d):
     return I.enclosing(*_occurrences(s, d))
 
 
-@q("n17_occurrence_edges", f"""WITH {_O_SQL.format("AND df.symbol LIKE '%().'")}, oc AS (SELECT n.id AS site_id, n.id || CASE WHEN kind = 'Method' THEN '().' ELSE '.' END AS dst FROM n WHERE kind IN ('Property', 'Method'))
-  SELECT DISTINCT en.symbol AS src, oc.dst, CASE WHEN oc.dst LIKE '%().' THEN 'CALLS' ELSE 'REFERENCES' END AS type FROM en JOIN oc ON oc.site_id = en.site_id WHERE r = 1 AND en.symbol <> oc.dst""")
-def _(s, d):
-    return _derived(s, d)
+_D_SQL = f"""{NE}, df AS (SELECT id || CASE WHEN kind IN ('Function', 'Method') THEN '().' ELSE '#' END AS symbol, file_path, start_line, 0 AS start_char, end_line, 80 AS end_char FROM n WHERE kind IN ('Function', 'Method') AND start_line IS NOT NULL AND end_line IS NOT NULL AND file_path IS NOT NULL),
+  si AS (SELECT e.id AS site_id, f.file_path, f.start_line, 5 AS start_char, f.start_line AS end_line, 8 AS end_char, e.dst || CASE WHEN e.type = 'CALLS' THEN '().' ELSE '.' END AS dst
+    FROM e JOIN n f ON f.id = e.src WHERE e.type IN ('CALLS', 'ACCESSES') AND e.dst IS NOT NULL AND f.file_path IS NOT NULL AND f.start_line IS NOT NULL),
+  en AS (SELECT si.site_id, si.dst, df.symbol, row_number() OVER (PARTITION BY si.site_id ORDER BY df.end_line - df.start_line, df.end_char - df.start_char, df.symbol) AS r FROM si JOIN df ON df.file_path = si.file_path
+    AND (df.start_line < si.start_line OR df.start_line = si.start_line AND df.start_char <= si.start_char) AND (df.end_line > si.end_line OR df.end_line = si.end_line AND df.end_char >= si.end_char)),
+  dv AS (SELECT DISTINCT symbol AS src, dst, CASE WHEN dst LIKE '%().' THEN 'CALLS' ELSE 'REFERENCES' END AS type FROM en WHERE r = 1 AND symbol <> dst)"""
 
 
 def _derived(s: SparkSession, d: str) -> DataFrame:
-    sites, defs = _occurrences(s, d)
-    kind = F.when(F.col("site_id").startswith("Method:"), "().").otherwise(".")
-    return I.derived_edges(sites.withColumn("symbol", F.concat("site_id", kind)).withColumn("role", F.lit("reference")), defs)
+    """What an indexer would say of the calls and accesses: an occurrence on the first line of whoever makes them."""
+    _, defs = _occurrences(s, d)
+    f = nodes(s, d).where("file_path is not null and start_line is not null").select(F.col("id").alias("src"), "file_path", "start_line")
+    e = edges(s, d).where("type in ('CALLS', 'ACCESSES') and dst is not null").select("id", "src", "dst", "type")
+    symbol = F.concat("dst", F.when(F.col("type") == "CALLS", "().").otherwise("."))
+    occ = e.join(f, "src").select(
+        F.col("id").alias("site_id"), "file_path", "start_line", F.lit(5).alias("start_char"), F.col("start_line").alias("end_line"), F.lit(8).alias("end_char"), symbol.alias("symbol"), F.lit("reference").alias("role")
+    )
+    return I.derived_edges(occ, defs)
+
+
+@q("n17_occurrence_edges", f"WITH {_D_SQL} SELECT src, dst, type FROM dv")
+def _(s, d):
+    return _derived(s, d)
 
 
-@q("n18_upgrades", f"""WITH {_O_SQL.format("AND df.symbol LIKE '%().'")}, oc AS (SELECT n.id AS site_id, n.id || CASE WHEN kind = 'Method' THEN '().' ELSE '.' END AS dst FROM n WHERE kind IN ('Property', 'Method')),
-  dv AS (SELECT DISTINCT rtrim(en.symbol, '().') AS src, rtrim(oc.dst, '().') AS dst, CASE WHEN oc.dst LIKE '%().' THEN 'CALLS' ELSE 'ACCESSES' END AS type FROM en JOIN oc ON oc.site_id = en.site_id WHERE r = 1 AND en.symbol <> oc.dst),
-  h AS (SELECT src, dst, type, max(coalesce(confidence, 0)) AS was FROM edges WHERE id IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2, 3)
-  SELECT dv.src, dv.dst, dv.type, 1.0::DOUBLE AS confidence, CASE WHEN was IS NULL THEN 'emitted' WHEN was < 1 THEN 'upgraded' ELSE 'known' END AS outcome FROM dv LEFT JOIN h USING (src, dst, type)""")
+@q("n18_upgrades", f"""WITH {_D_SQL}, x AS (SELECT DISTINCT rtrim(src, '().') AS src, rtrim(dst, '().') AS dst, CASE WHEN type = 'CALLS' THEN 'CALLS' ELSE 'ACCESSES' END AS type FROM dv),
+  h AS (SELECT src, dst, type, max(coalesce(confidence, 0)) AS was FROM e WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2, 3)
+  SELECT x.src, x.dst, x.type, 1.0::DOUBLE AS confidence, CASE WHEN was IS NULL THEN 'emitted' WHEN was < 1 THEN 'upgraded' ELSE 'known' END AS outcome FROM x LEFT JOIN h USING (src, dst, type)""")
 def _(s, d):
     bare = lambda c: F.regexp_replace(c, r"[().]+$", "")
     x = _derived(s, d).select(bare("src").alias("src"), bare("dst").alias("dst"), F.when(F.col("type") == "CALLS", "CALLS").otherwise("ACCESSES").alias("type"))

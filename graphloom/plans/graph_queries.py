@@ -368,7 +368,10 @@ def _(s, d):
     return N.communities(edges(s, d))
 
 
-@q("n05_components")
+@q("n05_components", """WITH RECURSIVE u AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL UNION SELECT DISTINCT dst, src FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL),
+  cc(id, component) USING KEY (id) AS (SELECT DISTINCT a AS id, a AS component FROM u
+    UNION (SELECT p.id, min(c.component) FROM cc c JOIN u ON u.a = c.id JOIN recurring.cc p ON p.id = u.b WHERE c.component < p.component GROUP BY 1))
+  SELECT id, component FROM cc""")
 def _(s, d):
     return N.components(table(s, d, "edges"))
 
@@ -397,12 +400,20 @@ def _(s, d):
     return N.degrees(edges(s, d))
 
 
-@q("n11_strong_components")
+@q("n11_strong_components", f"""WITH RECURSIVE {E_SQL}, k AS MATERIALIZED (SELECT DISTINCT src, dst FROM e WHERE type = 'CALLS' AND src IS NOT NULL AND dst IS NOT NULL),
+  r AS (SELECT src AS a, dst AS b FROM k UNION SELECT r.a, k.dst FROM r JOIN k ON k.src = r.b)
+  SELECT r.a AS id, min(r.b) AS component FROM r JOIN r s ON s.a = r.b AND s.b = r.a GROUP BY 1""")
 def _(s, d):
     return N.strong_components(edges(s, d).where("type = 'CALLS'"))
 
 
-@q("n13_overrides")
+@q("n13_overrides", f"""WITH RECURSIVE {NE}, l AS (SELECT src AS child, min(dst) AS parent FROM e WHERE type = 'EXTENDS' AND src IS NOT NULL AND dst IS NOT NULL GROUP BY 1),
+  an AS (SELECT child AS cls, parent AS anc, 1 AS dist, [child, parent] AS path FROM l WHERE child <> parent UNION ALL SELECT an.cls, l.parent, dist + 1, list_append(path, l.parent) FROM an JOIN l ON l.child = an.anc WHERE NOT list_contains(path, l.parent)),
+  bad AS (SELECT DISTINCT an.cls FROM an JOIN l ON l.child = an.anc WHERE list_contains(path, l.parent)),
+  m AS (SELECT DISTINCT e.src AS cls, e.dst AS method, t.name FROM e JOIN n t ON t.id = e.dst WHERE e.type = 'HAS_METHOD' AND e.src IS NOT NULL AND t.kind = 'Method'),
+  j AS (SELECT a.method, b.method AS overridden, dist, coalesce(i.kind IN ('Interface', 'Trait'), FALSE) AS iface FROM m a JOIN an USING (cls) JOIN m b ON b.cls = an.anc AND b.name = a.name LEFT JOIN n i ON i.id = an.anc WHERE a.cls NOT IN (SELECT cls FROM bad))
+  SELECT method, overridden, 'METHOD_OVERRIDES' AS type, 0.9::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY dist, overridden) AS r FROM j WHERE NOT iface) WHERE r = 1
+  UNION SELECT method, overridden, 'METHOD_IMPLEMENTS', 0.95 FROM j WHERE iface""")
 def _(s, d):
     return N.overrides(nodes(s, d), edges(s, d))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["pipeline_queries", "graph_queries", "history_queries", "relation_queries", "decision_queries", "flow_queries", "catalogue_queries"]
+MODULES = ["pipeline_queries", "graph_queries", "history_queries", "relation_queries", "decision_queries", "flow_queries", "catalogue_queries", "source_queries"]
 
 
 def _all(name: str) -> dict:

@@ -21,20 +21,18 @@ def language(path: Column) -> Column:
 
 
 def scan_repo(spark: SparkSession, root: str, max_bytes: int = 1_000_000) -> DataFrame:
-    """``path, size, sha256, language, is_binary, content``: files below a root, sorted by path.
+    """``path, size, sha256, language, is_binary, content``: files below a root.
 
     Files above the cap keep their row without content; a NUL byte in the first 8,000 marks a binary.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.lit(f.sparkSession._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/")
     path = F.element_at(F.split(F.col("path"), base, 2), 2)
-    binary = F.instr(F.hex(F.substring("content", 1, 8000)), "00") > 0
-    nul = F.exists(F.sequence(F.lit(1), F.least(F.lit(8000), F.greatest(F.octet_length("content"), F.lit(1)))), lambda i: F.hex(F.substring("content", i, F.lit(1))) == "00")
-    is_binary = F.when(binary, nul).otherwise(F.lit(False))
+    is_binary = F.contains(F.substring("content", 1, 8000), F.lit(bytearray(b"\0")))
     return f.select(path.alias("path"), F.col("length").alias("size"), "content").where(~F.col("path").rlike(SKIPPED)).select(
         "path", "size", F.sha2("content", 256).alias("sha256"), language(F.col("path")).alias("language"), is_binary.alias("is_binary"),
         F.when(~is_binary & (F.col("size") <= max_bytes), F.decode("content", "UTF-8")).alias("content"),
-    ).orderBy("path")
+    )
 
 
 def git_log(lines: DataFrame) -> DataFrame:
@@ -89,9 +87,9 @@ def sarif(logs: DataFrame) -> DataFrame:
 def manifest_deps(files: DataFrame) -> DataFrame:
     """``path, ecosystem, name, version``: dependencies of ``files(path, content)`` in package.json, requirements, go.mod and Cargo.toml."""
     name = F.element_at(F.split("path", "/"), -1)
-    npm = files.where(name == "package.json").select(
-        "path", F.explode(F.map_concat(*[F.coalesce(F.from_json(F.get_json_object("content", f"$.{k}"), "map<string,string>"), F.create_map().cast("map<string,string>")) for k in ("dependencies",)])).alias("name", "version")
-    ).withColumn("ecosystem", F.lit("npm"))
+    groups = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
+    entries = F.flatten(F.array(*[F.coalesce(F.map_entries(F.from_json(F.get_json_object("content", f"$.{k}"), "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>")) for k in groups]))
+    npm = files.where(name == "package.json").select("path", F.explode(entries).alias("e")).select("path", F.col("e.key").alias("name"), F.col("e.value").alias("version"), F.lit("npm").alias("ecosystem"))
 
     def by_regex(which: Column, rx: str, eco: str) -> DataFrame:
         hits = F.regexp_extract_all("content", F.lit(rx), 0)

@@ -87,8 +87,12 @@ def test_overrides_take_the_nearest(spark, make):
     ids = lambda c, m: f"{c}.{m}"
     nodes = make("nodes", [{"id": ids(c, m), "kind": "Method", "name": m} for c, m in [("A", "run"), ("B", "run"), ("C", "run"), ("C", "stop"), ("A", "stop")]])
     edges = edges_df(spark, [("B", "A"), ("C", "B")], "EXTENDS").unionByName(edges_df(spark, [("A", "A.run"), ("B", "B.run"), ("C", "C.run"), ("C", "C.stop"), ("A", "A.stop")], "HAS_METHOD"))
-    got = {(r.method, r.overridden) for r in N.overrides(nodes, edges).collect()}
-    assert got == {("B.run", "A.run"), ("C.run", "B.run"), ("C.stop", "A.stop")}
+    got = {tuple(r) for r in N.overrides(nodes, edges).collect()}
+    assert got == {(m, o, "METHOD_OVERRIDES", 0.9) for m, o in (("B.run", "A.run"), ("C.run", "B.run"), ("C.stop", "A.stop"))}
+    # what an interface declares is implemented, by every class below it
+    faces = nodes.unionByName(make("nodes", [{"id": "A", "kind": "Interface"}]))
+    got = {tuple(r) for r in N.overrides(faces, edges).collect()}
+    assert got == {("C.run", "B.run", "METHOD_OVERRIDES", 0.9)} | {(m, o, "METHOD_IMPLEMENTS", 0.95) for m, o in (("B.run", "A.run"), ("C.run", "A.run"), ("C.stop", "A.stop"))}
 
 
 def test_traverse_takes_the_smallest_shortest_path(spark):

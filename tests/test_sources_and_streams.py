@@ -22,7 +22,7 @@ def test_scan(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"ab\x00cd")
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules/c.js").write_text("x")
-    got = [(r.path, r.language, r.is_binary, r.content) for r in S.scan_repo(spark, str(tmp_path)).collect()]
+    got = [(r.path, r.language, r.is_binary, r.content) for r in S.scan_repo(spark, str(tmp_path)).orderBy("path").collect()]
     assert got == [("b.bin", None, True, None), ("src/a.py", "python", False, "x = 1\n")]
 
 
