@@ -160,36 +160,46 @@ def _stems() -> ahocorasick.Automaton:
     return _STEMS[0]
 
 
-def kind_of(u: str) -> str:
-    """``placeholder``, ``filler``, ``notice``, ``furniture``, ``heading`` or ``content``.
+_HEAD = re.compile(r"\s*(?:#{1,6}\s|<h[1-6]>)")
+
+
+def judged(u: str) -> tuple[str, str, list[str]]:
+    """What a unit is, without what it quotes, and its words in lower case.
 
-    A unit that explains, or that holds few placeholders among many words, speaks of such things
-    and is content.
+    ``placeholder``, ``filler``, ``notice``, ``furniture``, ``heading`` or ``content``.  A unit that
+    explains, or that holds few placeholders among many words, speaks of such things and is content.
+    The costly patterns run only where a cheap sign asks for them.
     """
-    bare = _INLINE.sub(" ", u)
-    words = _WORD.findall(bare)
+    bare = _INLINE.sub(" ", u) if "`" in u or '"' in u or "“" in u or "«" in u else u
+    low = bare.lower()
+    words = _WORD.findall(low)
     n = len(words)
-    marked = _MARKS.search(bare) is not None
-    holes = len(PLACEHOLDER.findall(bare)) + len(PLACEHOLDER_CI.findall(bare)) if marked else 0
-    unset = len(UNSET.findall(bare))
-    stem = next(_stems().iter(f" {_EDGE.sub(' ', bare.lower())} "), None) is not None
-    explains = n >= 8 and (EXPLAINS.search(bare) is not None or "`" in u)
-    left = _WORD.findall(PLACEHOLDER_CI.sub(" ", PLACEHOLDER.sub(" ", bare))) if holes else words
-    if holes and (holes >= 0.2 * len(left) or not left) and not (explains and holes < 0.34 * len(left)):
-        return "placeholder"
-    if unset and n <= 9 and (unset >= 2 or n <= 4) and "`" not in u:
-        return "placeholder"
-    if n >= 4 and sum(w.lower() in LOREM for w in words) > 0.6 * n:
-        return "filler"
-    if stem and FILLER.search(bare) and not explains:
-        return "filler"
-    if stem and NOTICE.search(bare) and not explains:
-        return "notice"
+    coded = "`" in u
+    if _MARKS.search(bare):
+        holes = len(PLACEHOLDER.findall(bare)) + len(PLACEHOLDER_CI.findall(bare))
+        if holes:
+            left = len(_WORD.findall(PLACEHOLDER_CI.sub(" ", PLACEHOLDER.sub(" ", bare))))
+            if (holes >= 0.2 * left or not left) and not (holes < 0.34 * left and n >= 8 and (coded or EXPLAINS.search(bare))):
+                return "placeholder", bare, words
+    if n <= 9 and not coded:
+        unset = len(UNSET.findall(bare))
+        if unset and (unset >= 2 or n <= 4):
+            return "placeholder", bare, words
+    if n >= 4 and sum(w in LOREM for w in words) > 0.6 * n:
+        return "filler", bare, words
+    if next(_stems().iter(f" {_EDGE.sub(' ', low)} "), None) is not None:
+        k = "filler" if FILLER.search(bare) else "notice" if NOTICE.search(bare) else None
+        if k and not (n >= 8 and (coded or EXPLAINS.search(bare))):
+            return k, bare, words
     if FURNITURE.match(u) or (n <= 3 and not u.startswith(("#", "-", "*"))):
-        return "furniture"
-    if re.match(r"\s*(?:#{1,6}\s|<h[1-6]>)", u) or n <= 2:
-        return "heading"
-    return "content"
+        return "furniture", bare, words
+    if _HEAD.match(u) or n <= 2:
+        return "heading", bare, words
+    return "content", bare, words
+
+
+def kind_of(u: str) -> str:
+    return judged(u)[0]
 
 
 #: Slots per word, and how many at least, from which a text counts as unfilled whatever it says.
@@ -213,6 +223,10 @@ _PAIRS = {"{{": "}}", "{%": "%}", "<%": "%>", "<%=": "%>", "<<": ">>", "${": "}"
 _BLANK = re.compile(r"\?{3,}|(?<![\w_])_{3,}(?![\w_])|\b(?:undefined|NaN|null|None)\b|\[object Object\]|\$[A-Z_]{3,}\b|(?<![\w$])\$!?[a-z]\w*\.[a-z]\w*")
 
 
+_BLANK_SIGNS = ("???", "___", "undefined", "NaN", "null", "None", "[object", "$")
+_ANY_MARK = re.compile(r"[{}<>$%@\[#~^?]|__|\b(?:undefined|NaN|null|None)\b|[A-Z]{3,}\(")
+
+
 def slots(body: str) -> int:
     """How many slots of a template the text holds: those of every pair of marks that comes back."""
     by: Counter = Counter()
@@ -225,7 +239,7 @@ def slots(body: str) -> int:
         if (at and (body[at - 1] == "/" or (a in "@%~^" and body[at - 1].isalnum()))) or (a in ("[", "[[") and body[end:end + 1] == "(") or (a in "@%~^" and body[end:end + 1].isalnum()):
             continue
         by[a] += 1
-    return sum(n for n in by.values() if n >= HOLES_LEAST) + len(_BLANK.findall(body))
+    return sum(n for n in by.values() if n >= HOLES_LEAST) + (len(_BLANK.findall(body)) if any(x in body for x in _BLANK_SIGNS) else 0)
 
 
 _STOP = frozenset("the a an of to and or for in on at by with from is are was were be this that its it as der die das und ein eine la el los las de un una le les des et du".split())
@@ -235,14 +249,26 @@ def terms(s: str | None) -> set[str]:
     return {w.lower() for w in _WORD.findall(s or "") if w.lower() not in _STOP and len(w) > 2}
 
 
-_MASK = re.compile(r"[^\W_]*\d[\w.]*|`[^`\n]*`|/[\w./-]+")
-_CUTS = re.compile(r"[^\w]+")
+_MASK = re.compile(r"[^\W_]*\d[\w.]*|/[\w./-]+")
+
 
+def _key(low: str, words: list[str], masked: set[str]) -> int:
+    """The skeleton of a unit: its words in lower case, without numbers, code and paths, the terms of title and address alike."""
+    if "/" in low:
+        words = _WORD.findall(_MASK.sub(" ", low))
+    return xxhash.xxh64_intdigest(" ".join(words) if masked.isdisjoint(words) else " ".join("t" if w in masked else w for w in words)) - (1 << 63)
 
-def _key(u: str, masked: set[str]) -> int:
-    """The skeleton of a unit: numbers, code, paths and the terms of title and address taken out."""
-    bone = " ".join("t" if w in masked else w for w in _CUTS.split(_MASK.sub("0", u.lower())) if w)
-    return xxhash.xxh64_intdigest(bone) - (1 << 63)
+
+def _says_little(body: str, n_units: int) -> bool:
+    """Whether a text of several words or units has no more than a few different ones; most texts tell after a line."""
+    said: set[str] = set()
+    n = 0
+    for m in _WORD.finditer(body):
+        n += 1
+        said.add(m[0].lower())
+        if len(said) > FEW_WORDS:
+            return False
+    return n >= REPEATED_WORDS or n_units >= 3
 
 
 def profile(text: str, title: str | None, slug: str | None) -> tuple[int, int, bool, bool, bool, list[int], list[int]]:
@@ -252,34 +278,36 @@ def profile(text: str, title: str | None, slug: str | None) -> tuple[int, int, b
     all_units = units(body)
     t = terms(title) | terms(slug)
     head = (title or "").strip()
-    told: set[str] = set()
-    own: list[int] = []
-    served: list[int] = []
-    specific = False
+    bare_head = head.strip("#>*-= ")
+    own: set[int] = set()
+    served: set[int] = set()
+    n_own = 0
+    specific = answered = False
     for u in all_units:
-        k = kind_of(u)
-        if k in ("placeholder", "filler", "notice"):
-            bad += max(1, len(_WORD.findall(u)))
-            if k == "notice":
-                m = NOTICE.search(_INLINE.sub(" ", u))
-                served.append(_key(m[0], t) if m else 0)
-        elif k == "content":
-            good += len(_WORD.findall(u))
-            own.append(_key(u, t))
+        k, bare, words = judged(u)
+        if k == "content":
+            # quoted words are words too
+            good += len(words) if bare is u else len(_WORD.findall(u))
+            n_own += 1
             specific = specific or "`" in u
-            line = u.strip("#>*-= ")
-            if not head or not (line.startswith(head.strip("#>*-= ")) and len(line) < len(head) + 8):
-                told |= terms(u)
-    words = _WORD.findall(body)
-    holes = slots(body)
-    said = {w.lower() for w in words}
+            own.add(_key(bare.lower() if "/" in bare else "", words, t))
+            if t and not answered:
+                line = u.strip("#>*-= ")
+                if not head or not (line.startswith(bare_head) and len(line) < len(head) + 8):
+                    answered = not t.isdisjoint(words if bare is u else terms(u))
+        elif k in ("placeholder", "filler", "notice"):
+            bad += max(1, len(words) if bare is u else len(_WORD.findall(u)))
+            if k == "notice":
+                m = NOTICE.search(bare)
+                served.add(_key(m[0].lower(), _WORD.findall(m[0].lower()), t) if m else 0)
+    holes = slots(body) if _ANY_MARK.search(body) else 0
     hollow = (
-        (holes >= HOLES_LEAST and holes >= HOLE_SHARE * max(1, len(words)))
-        or len(_LABELLED.findall(body)) >= 2
-        or (len(said) <= FEW_WORDS and (len(words) >= REPEATED_WORDS or len(all_units) >= 3) and "```" not in text)
+        (holes >= HOLES_LEAST and holes >= HOLE_SHARE * max(1, len(_WORD.findall(body))))
+        or ("<" in body and len(_LABELLED.findall(body)) >= 2)
+        or ("```" not in text and _says_little(body, len(all_units)))
     )
-    light = 0 < len(own) <= LIGHT_UNITS and not specific and "```" not in text
-    return bad, good, hollow, bool(t & told), light, sorted(set(own)), sorted(set(served))
+    light = 0 < n_own <= LIGHT_UNITS and not specific and "```" not in text
+    return bad, good, hollow, answered, light, sorted(own), sorted(served)
 
 
 _ROWS = "doc_id long, host string, title_key long, bad int, good int, hollow boolean, answered boolean, light boolean, own array<long>, served array<long>"
@@ -304,7 +332,8 @@ def residue_evidence(documents: DataFrame) -> DataFrame:
             for d, r, t, ti, sl in zip(b["doc_id"], b["repo_uri"], b["text"], b["title"], b["slug"]):
                 ti = ti if isinstance(ti, str) else None
                 # a title that only opens the text is no address of its own
-                key = _key("" if ti is None or t.lstrip().startswith(ti.strip()) and not t.lstrip().startswith("#") else ti, set())
+                own = "" if ti is None or t.lstrip().startswith(ti.strip()) and not t.lstrip().startswith("#") else ti.lower()
+                key = _key(own, _WORD.findall(own), set())
                 got.append((d, r if isinstance(r, str) else "", key, *profile(t, ti, sl if isinstance(sl, str) else None)))
             yield pd.DataFrame(got, columns=[c.split()[0] for c in _ROWS.split(", ")])
 
