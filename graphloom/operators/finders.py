@@ -94,3 +94,9 @@ def resolve_target(nodes: DataFrame, targets: DataFrame) -> DataFrame:
 
 def without_tests(df: DataFrame, path: Column | str = "file_path") -> DataFrame:
     return df.where(~F.coalesce(is_test_path(F.col(path) if isinstance(path, str) else path), F.lit(False)))
+
+
+def list_embeddings(vectors: DataFrame, id_col: str, kind_col: str, kinds: list | None = None, limit: int | None = None) -> DataFrame:
+    """Vectors of some kinds; in the order of their ids where a limit asks for the first."""
+    out = vectors if kinds is None else vectors.where(F.col(kind_col).isin(kinds))
+    return out if limit is None or limit < 0 else out.orderBy(id_col).limit(limit)

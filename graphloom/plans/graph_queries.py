@@ -97,9 +97,14 @@ def _(s, d):
     return FI.list_edges(edges(s, d), ["ACCESSES"]).select("id", "src", "dst")
 
 
-@q("f12_embeddings", "SELECT vec_id, label, len(embedding) AS dim FROM embeddings")
+@q("f12_embeddings", "SELECT vec_id, label, len(embedding) AS dim FROM embeddings WHERE label IN (1, 2, 3) ORDER BY vec_id LIMIT 100")
 def _(s, d):
-    return table(s, d, "embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
+    return FI.list_embeddings(table(s, d, "embeddings"), "vec_id", "label", [1, 2, 3], 100).select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
+
+
+@q("f12_all_embeddings", "SELECT vec_id, label, len(embedding) AS dim FROM embeddings")
+def _(s, d):
+    return FI.list_embeddings(table(s, d, "embeddings"), "vec_id", "label").select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
 
 
 _HOT = "(SELECT source_file FROM cochanges GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
@@ -489,10 +494,12 @@ def _(s, d):
     return nodes(s, d).where("kind = 'File'").select("file_path", F.element_at(parts, -1).alias("name"), F.size(parts).alias("depth"), "language")
 
 
-@q("c02_symbol_index", f"WITH {N_SQL} SELECT file_path, name, min(id) AS first_id, count(*) AS n FROM n WHERE kind IN ('Function', 'Method', 'Class', 'Struct') AND file_path IS NOT NULL GROUP BY 1, 2")
+@q("c02_symbol_index", f"WITH {N_SQL} SELECT file_path, name, max({{'l': coalesce(start_line, 0), 'i': id}}).i AS last_id, count(*) AS n FROM n WHERE kind IN ('Function', 'Method', 'Class', 'Struct') AND file_path IS NOT NULL GROUP BY 1, 2")
 def _(s, d):
     n = nodes(s, d).where("kind in ('Function', 'Method', 'Class', 'Struct') and file_path is not null")
-    return n.groupBy("file_path", "name").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    # of several definitions of a name the last in the file answers
+    last = F.max(F.struct(F.coalesce("start_line", F.lit(0)).alias("l"), "id"))["id"]
+    return n.groupBy("file_path", "name").agg(last.alias("last_id"), F.count(F.lit(1)).alias("n"))
 
 
 @q("x09_short_hash", f"WITH {N_SQL} SELECT id, substring(sha256(id), 1, 6) AS h FROM n")
