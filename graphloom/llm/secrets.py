@@ -19,12 +19,14 @@ import re
 from collections import Counter
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import filled, spread
+from graphloom.runtime import Staging
 
 #: Share of all owners from which a value counts as a shared placeholder, and for structured values; never fewer than LEAST_OWNERS.
 SHARED, SHARED_STRUCTURED, LEAST_OWNERS = 0.125, 0.5, 4
@@ -413,33 +415,70 @@ def _files(nodes: DataFrame) -> DataFrame:
     return spread(ours.select("id", "file_path", "content", owner.alias("owner"), rank.alias("rank")))
 
 
+#: Bits of the maps that tell which runs, and which files, can matter: of one size whatever the corpus.
+MAP_BITS = 1 << 26
+
+
+def _map_of(hashes: DataFrame, column: str) -> np.ndarray:
+    """One bit per hash, folded to ``MAP_BITS``: the driver gets at most ``MAP_BITS / 64`` numbers, never the hashes."""
+    at = F.pmod(F.col(column).cast("long"), F.lit(MAP_BITS))
+    words = hashes.select(F.shiftright(at, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    out = np.zeros(MAP_BITS // 64, dtype=np.int64)
+    for r in words:
+        out[r["w"]] = r["b"]
+    return out
+
+
+def _in_map(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = np.mod(hashes.astype(np.int64), MAP_BITS)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def secret_places(nodes: DataFrame) -> DataFrame:
     """``node_id, start, end, line_no, value``: each place of a secret value, as offsets into the content.
 
     Lines count from 1 and end at LF.  A key block is placed at its opening line, a value in several
     pieces at the first.  Nodes without an id, of other kinds, or without content have no secrets; of
     repeated ids the row with more non-null fields counts.
+
+    The index is written once and its runs enter no exchange but for those that a bit map of the confirmed
+    values lets through, so a word that all files share never is a key of a join.
     """
     files = _files(nodes)
-    seen = _index(files).groupBy("id").agg(F.max_by(F.struct("owner", "x", F.col("content").isNotNull().alias("has")), "rank").alias("b"))
-    seen = seen.select("id", "b.owner", F.col("b.x.hits").alias("hits"), F.col("b.x.runs").alias("runs"))
+    spark = nodes.sparkSession
+    st = Staging(spark, "secrets")
+    seen = st.cut(_index(files).select("id", "rank", "owner", F.col("x.hits").alias("hits"), F.col("x.runs").alias("runs")), "index")
+    best = seen.groupBy("id").agg(F.max("rank").alias("rank"))
 
-    told = seen.select("id", "owner", F.explode("hits").alias("h")).select("id", "owner", "h.*")
+    told = seen.select("id", "rank", "owner", F.explode("hits").alias("h")).join(best, ["id", "rank"]).select("id", "owner", "h.*")
     # values leave each task once per owner, so a placeholder that fills the corpus is no hot key
     owners = told.groupBy("value", "owner").agg(F.max(F.struct("block", "keys")).alias("k"), F.bool_or("sure").alias("sure")).groupBy("value").agg(
         F.count(F.lit(1)).alias("n_owners"), F.max("k").alias("k"), F.bool_or("sure").alias("sure")
     )
-    n_all = files.select("owner").distinct().count()
+    n_all = seen.select("owner").distinct().count()
     bar = F.greatest(F.lit(LEAST_OWNERS), F.when(F.col("sure"), F.lit(SHARED_STRUCTURED)).otherwise(F.lit(SHARED)) * F.lit(n_all))
-    confirmed = owners.where(F.col("n_owners") < bar).select("value", "k.block", "k.keys")
+    confirmed = st.cut(owners.where(F.col("n_owners") < bar).select("value", "k.block", "k.keys"), "confirmed")
     first = told.join(confirmed.select("value"), "value").select("id", F.col("s").alias("start"), F.col("e").alias("end"), F.col("line").alias("line_no"), "value")
 
     # where the index has a run of a confirmed value in a file, the file is scanned for the value
-    key = F.xxhash64(F.col("id"))
-    shown = seen.select(key.alias("fk"), F.explode("runs").alias("hv"))
     wanted = confirmed.select(F.struct("value", "block").alias("v"), F.explode("keys").alias("hv"))
-    held = shown.join(wanted, "hv").groupBy("fk").agg(F.collect_set("v").alias("values"))
-    again = files.where(F.col("content").isNotNull()).withColumn("fk", key).join(held, "fk")
+    run_map = spark.sparkContext.broadcast(_map_of(wanted, "hv"))
+
+    @F.pandas_udf("array<int>")
+    def asked(runs_: pd.Series) -> pd.Series:
+        return runs_.map(lambda r: r[_in_map(r, run_map.value)] if r is not None and len(r) else [])
+
+    shown = seen.select("id", "rank", F.explode(asked("runs")).alias("hv"))
+    held = st.cut(shown.join(wanted, "hv").join(best, ["id", "rank"]).groupBy("id").agg(F.collect_set("v").alias("values")), "held")
+    key = F.xxhash64("id")
+    id_map = spark.sparkContext.broadcast(_map_of(held.select(key.alias("k")), "k"))
+
+    @F.pandas_udf("boolean")
+    def holds(keys: pd.Series) -> pd.Series:
+        return pd.Series(_in_map(keys.to_numpy(), id_map.value))
+
+    # of the texts only those leave the scan that hold a value, and the few whose bit another file set
+    again = files.where(F.col("content").isNotNull()).where(holds(key)).join(held, "id")
 
     @F.pandas_udf("array<struct<s:int,e:int,line:int,value:string>>")
     def rescan(contents: pd.Series, values: pd.Series) -> pd.Series:
@@ -449,7 +488,7 @@ def secret_places(nodes: DataFrame) -> DataFrame:
             out.append([{"s": s, "e": e, "line": c.count("\n", 0, s) + 1, "value": v} for s, e, v in found])
         return pd.Series(out)
 
-    second = again.select("id", "rank", rescan("content", "values").alias("h")).groupBy("id").agg(F.max_by("h", "rank").alias("h"))
+    second = again.select("id", "rank", rescan("content", "values").alias("h")).join(best, ["id", "rank"])
     second = second.select("id", F.explode("h").alias("h")).select("id", F.col("h.s").alias("start"), F.col("h.e").alias("end"), F.col("h.line").alias("line_no"), "h.value")
     both = first.unionByName(second).groupBy("id", "start", "line_no").agg(F.max(F.struct("end", "value")).alias("m"))
     return both.select(F.col("id").alias("node_id"), "start", "m.end", "line_no", "m.value")
