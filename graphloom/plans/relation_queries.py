@@ -211,6 +211,26 @@ def _(s, d):
     return T.gini(p, "file", "k")
 
 
+_PATHS = r"""p AS (SELECT id, CASE WHEN id LIKE '%2%' THEN '/' ELSE coalesce(name, 'x') || '/:id' || CASE WHEN id LIKE '%1%' THEN '?a=1' ELSE '//' END END AS p FROM repos),
+  q AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(p, '[?#].*$', ''), ':([A-Za-z_]\w*)', '{\1}', 'g'), '/+$', '') AS s FROM p)"""
+
+
+def _raw_paths(s, d):
+    tail = F.when(F.col("id").contains("1"), F.lit("?a=1")).otherwise(F.lit("//"))
+    p = F.when(F.col("id").contains("2"), F.lit("/")).otherwise(F.concat(F.coalesce("name", F.lit("x")), F.lit("/:id"), tail))
+    return table(s, d, "repos").select("id", p.alias("p"))
+
+
+@q("x02_bare_paths", f"WITH {_PATHS} SELECT id, s AS path FROM q")
+def _(s, d):
+    return _raw_paths(s, d).select("id", X.norm_path(F.col("p"), root="", lead=False).alias("path"))
+
+
+@q("x02_rooted_paths", f"WITH {_PATHS} SELECT id, CASE WHEN s = '' THEN '/' WHEN s LIKE '/%' THEN s ELSE '/' || s END AS path FROM q")
+def _(s, d):
+    return _raw_paths(s, d).select("id", X.norm_path(F.col("p")).alias("path"))
+
+
 @q("x02_normal_paths", r"""WITH p AS (SELECT id, '/' || coalesce(name, '') || '/:id' || CASE WHEN id LIKE '%1%' THEN '?a=1' ELSE '/' END AS p FROM repos)
   SELECT id, regexp_replace(regexp_replace(regexp_replace(p, '[?#].*$', ''), ':([A-Za-z_]\w*)', '{\1}', 'g'), '/+$', '') AS path FROM p""")
 def _(s, d):

@@ -169,3 +169,13 @@ def test_c3_orders(spark):
     rows = [("B", "A", 0), ("C", "A", 0), ("D", "B", 0), ("D", "C", 1), ("E", "D", 0), ("p", "q", 0), ("q", "p", 0), ("r", "q", 0), (None, "A", 0)]
     got = {r.cls: r.mro for r in linearise(spark.createDataFrame(rows, "child string, parent string, pos int")).collect()}
     assert got == {"A": ["A"], "B": ["B", "A"], "C": ["C", "A"], "D": ["D", "B", "C", "A"], "E": ["E", "D", "B", "C", "A"]}
+
+
+def test_strategies_of_resolution(spark):
+    from graphloom.operators import linearize as LZ
+
+    links = spark.createDataFrame([("d", "b", 0), ("d", "c", 1), ("b", "a", 0), ("c", "a", 0)], "child string, parent string, pos int")
+    order = lambda s: {r.cls: list(r.mro) for r in LZ.linearise(links, strategy=s).collect()}["d"]
+    assert order("c3") == ["d", "b", "c", "a"] and order("first-wins") == ["d", "b", "a", "c"] and order("single") == ["d", "b", "a"] and order("none") == ["d"]
+    with pytest.raises(KeyError):
+        LZ.linearise(links, strategy="other")
