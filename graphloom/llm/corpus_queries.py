@@ -34,14 +34,15 @@ def p8_shards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_kept(spark: SparkSession, d: str) -> DataFrame:
-    """Per source whether the cap on repeats and the target share (within a hundredth of the total) are kept."""
+    """Per source whether the cap on repeats and the target share are kept, within a hundredth of the total and two blocks, the unit of the mix."""
     docs, targets = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/mix_targets.parquet")
     told = M.shares(M.mix(docs, targets), targets)
     have = docs.where("text is not null and text <> ''").select(M.tidy(F.col("source")).alias("source")).distinct().withColumn("has", F.lit(True))
     caps = targets.select(M.tidy(F.col("source")).alias("source"), "max_repeats")
     live = told.join(F.broadcast(caps), "source").join(have, "source", "left")
-    scale = live.where("has").agg(F.sum("target_share")).first()[0] or 1.0
-    fit = F.when(F.col("has"), F.abs(F.col("actual_share") - F.col("target_share") / F.lit(scale)) <= 0.01).otherwise(F.col("n_records") == 0)
+    sums = live.agg(F.sum(F.when(F.col("has"), F.col("target_share"))).alias("scale"), F.sum("tokens_used").alias("used")).first()
+    near = 0.01 + 2.0 * M.BLOCK_TOKENS / max(1, sums["used"] or 0)
+    fit = F.when(F.col("has"), F.abs(F.col("actual_share") - F.col("target_share") / F.lit(sums["scale"] or 1.0)) <= F.lit(near)).otherwise(F.col("n_records") == 0)
     return live.select("source", (F.col("max_used") <= F.col("max_repeats")).alias("within_cap"), fit.alias("share_kept"))
 
 
