@@ -15,9 +15,10 @@ from graphloom.operators import indexer as I
 from graphloom.operators import metrics as M
 from graphloom.operators import retrieval as R
 from graphloom.operators import traversal as T
+from graphloom.operators.graph_tables import merge_nodes
 from graphloom.plans.graph_queries import _TIER, N_SQL, NE, S0_SQL, STARTS, edges, nodes
 from graphloom.plans.history_queries import _TOK
-from graphloom.runtime import table
+from graphloom.runtime import Staging, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -304,10 +305,12 @@ def _(s, d):
   u AS (SELECT sr.qid, sr.id, score, CASE WHEN EXISTS (SELECT 1 FROM top WHERE top.qid = sr.qid) THEN 'zoomed' ELSE 'flat' END AS tier FROM sr JOIN s_t ON s_t.id = sr.id WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.qid = sr.qid) OR EXISTS (SELECT 1 FROM top WHERE top.qid = sr.qid AND top.file_path = s_t.file_path))
   SELECT qid, id, round(score, 6) AS score, pos, tier FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY floor(score * 1e9) DESC, id) AS pos FROM u) WHERE pos <= 50""")
 def _(s, d):
-    n = nodes(s, d).where("file_path is not null")
+    # files, symbols and queries are several scans each: the nodes are merged once, and their texts written for all of them
+    every = Staging(s, "zoom").cut(merge_nodes(table(s, d, "nodes"), "id kind name file_path language signature description".split()), "nodes")
+    n = every.where("file_path is not null")
     files = n.where("kind = 'File'").select("file_path", F.concat_ws(" ", "name", "language", "description", "file_path").alias("text"))
     symbols = n.where("kind not in ('File', 'Folder')").select("id", "file_path", F.concat_ws(" ", "name", "signature", "description", "language").alias("text"))
-    qs = nodes(s, d).where("kind = 'Struct'").select(F.col("id").alias("qid"), F.concat_ws(" ", "name", F.coalesce("language", F.lit(""))).alias("text"))
+    qs = every.where("kind = 'Struct'").select(F.col("id").alias("qid"), F.concat_ws(" ", "name", F.coalesce("language", F.lit(""))).alias("text"))
     return R.zoom(files, symbols, qs).select("qid", "id", F.round("score", 6).alias("score"), "pos", "tier")
 
 

@@ -91,3 +91,29 @@ def test_bm25_by_brute_force(spark, monkeypatch, texts, block, portion):
 def test_bm25_exchanges_hits_and_not_pairs(spark, common_words):
     rows, n = exchanged(registry.queries()["r01_bm25"](spark, common_words))
     assert len({r.qid for r in rows}) == 30 and n < 5_000
+
+
+def test_zoom_by_brute_force(spark, texts):
+    docs, queries = texts
+    files = {f"f{i:03d}": t for i, t in list(docs.items())[:60]}
+    symbols = {f"s{i:03d}": (f"f{i % 80:03d}", t) for i, t in list(docs.items())[60:]}
+    near = brute(files, queries)
+    want = {}
+    for q, hit in brute({s: t for s, (_, t) in symbols.items()}, queries).items():
+        top = {f for _, f in near.get(q, [])[:4]}
+        kept = [(s, "zoomed" if top else "flat") for _, s in hit if not top or symbols[s][0] in top][:5]
+        if kept:
+            want[q] = kept
+    f = spark.createDataFrame(list(files.items()), "file_path string, text string").repartition(3)
+    s = spark.createDataFrame([(s, *x) for s, x in symbols.items()], "id string, file_path string, text string").repartition(4)
+    q = spark.createDataFrame(list(queries.items()), "qid long, text string")
+    assert {t for k in want.values() for _, t in k} == {"zoomed", "flat"}
+    assert by_query(R.zoom(f, s, q, 4, 5).collect(), "id", "tier") == want
+
+
+def test_zoom_exchanges_hits_and_not_pairs(spark):
+    f = spark.createDataFrame([(f"f{i}", f"go w{i}") for i in range(200)], "file_path string, text string")
+    s = spark.createDataFrame([(f"s{i}", f"f{i % 200}", f"go w{i % 200}") for i in range(1000)], "id string, file_path string, text string")
+    q = spark.createDataFrame([(i, f"W{i} Go") for i in range(200)], "qid long, text string")
+    rows, n = exchanged(R.zoom(f, s, q))
+    assert len(rows) == 1000 and n < 10_000
