@@ -108,10 +108,15 @@ _BM25 = f"""w AS (SELECT doc_id AS id, {_TOK.format(c="concat_ws(' ', title, tex
   h AS (SELECT qid, id, sum(s) AS score, count(*) AS k FROM s GROUP BY 1, 2)"""
 
 
+def _titles(docs: DataFrame) -> DataFrame:
+    """The stated query set: the whole titles of all documents whose id is divisible by 20."""
+    return docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("title").alias("text"))
+
+
 def _text_run(s: SparkSession, d: str, limit: int | None) -> DataFrame:
-    """The stated query set: the whole titles of all documents whose id is divisible by 20, against all documents."""
+    """The stated query set against all documents."""
     docs = table(s, d, "documents")
-    return R.bm25(docs, "doc_id", ["title", "text"], docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("title").alias("text")), limit)
+    return R.bm25(docs, "doc_id", ["title", "text"], _titles(docs), limit)
 
 
 @q("r01_bm25", f"""WITH {_BM25}, r AS (SELECT h.*, row_number() OVER (PARTITION BY qid ORDER BY floor(score * 1e9) DESC, id) AS pos FROM h JOIN need USING (qid) WHERE k = terms)
@@ -137,12 +142,9 @@ def _(s, d):
   SELECT qid, repo_uri, id, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos, repo_uri, id) AS o FROM t, m WHERE pos <= per_repo) WHERE o <= 50""")
 def _(s, d):
     docs = table(s, d, "documents")
-    hit = _text_run(s, d, None).join(docs.where("repo_uri is not null").select(F.col("doc_id").alias("id"), "repo_uri"), "id").drop("pos")
     per_repo = R.group_limit(50, docs.agg(F.count_distinct("repo_uri")).first()[0])
-    w = Window.partitionBy("qid", "repo_uri").orderBy(F.desc(F.floor(F.col("score") * 1e9)), "id")
-    t = hit.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= per_repo)
-    o = Window.partitionBy("qid").orderBy("pos", "repo_uri", "id")
-    return t.withColumn("o", F.row_number().over(o)).where("o <= 50").select("qid", "repo_uri", "id", "pos")
+    hit = R.bm25_by_part(docs, "doc_id", ["title", "text"], "repo_uri", _titles(docs), per_repo)
+    return hit.select("qid", F.col("part").alias("repo_uri"), "id", "pos")
 
 
 @q("c08_found_in", f"""WITH {N_SQL}, p AS (SELECT id, file_path, coalesce(start_line, 1) AS line FROM n WHERE kind = 'Property'),

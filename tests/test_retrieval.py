@@ -117,3 +117,29 @@ def test_zoom_exchanges_hits_and_not_pairs(spark):
     q = spark.createDataFrame([(i, f"W{i} Go") for i in range(200)], "qid long, text string")
     rows, n = exchanged(R.zoom(f, s, q))
     assert len(rows) == 1000 and n < 10_000
+
+
+def test_bm25_by_part_by_brute_force(spark, monkeypatch, texts):
+    monkeypatch.setattr(R, "PORTION", 40)
+    docs, queries = texts
+    part = {i: None if i % 11 == 0 else "abcde"[min(i % 17, 4)] for i in docs}
+    want = {}
+    for q, hit in brute(docs, queries).items():
+        at, n = [], {}
+        for _, i in hit:
+            if part[i] is not None:
+                n[part[i]] = n.get(part[i], 0) + 1
+                at.append((n[part[i]], part[i], i))
+        if at:
+            want[q] = sorted(x for x in at if x[0] <= 6)[:12]
+    d = spark.createDataFrame([(i, t, part[i]) for i, t in docs.items()], "id long, text string, part string").repartition(5)
+    q = spark.createDataFrame(list(queries.items()), "qid long, text string")
+    got = {}
+    for r in R.bm25_by_part(d, "id", ["text"], "part", q, 6, 12).collect():
+        got.setdefault(r.qid, []).append((r.pos, r.part, r.id))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_group_query_exchanges_hits_and_not_pairs(spark, common_words):
+    rows, n = exchanged(registry.queries()["r06_group_query"](spark, common_words))
+    assert len({r.qid for r in rows}) == 30 and n < 5_000
