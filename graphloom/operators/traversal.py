@@ -77,8 +77,20 @@ def risk_by_score(score):
 
 
 def closure(imports: DataFrame, changed: DataFrame, depth: int = 2) -> DataFrame:
-    """``file, depth``: changed files (depth 0) with what imports them or is imported by them up to a depth."""
-    walked = traverse(imports, changed.select(F.col("file").alias("start")), None, "both", depth)
-    near = walked.groupBy(F.col("node_id").alias("file")).agg(F.min("depth").alias("depth"))
-    zero = changed.select("file").distinct().withColumn("depth", F.lit(0))
-    return near.join(zero, "file", "left_anti").unionByName(zero)
+    """``file, depth``: changed files (depth 0) with what imports them or is imported by them up to a depth.
+
+    All changed files walk as one set, as only the least depth of a file counts: a file enters the frontier
+    once, whatever number of changed files reach it, so what is written is at most the files and their steps.
+    """
+    st = Staging(imports.sparkSession, "closure")
+    pairs = st.cut(_steps(imports, None, "down", 0), "pairs")
+    frontier = st.cut(changed.select("file").distinct().withColumn("depth", F.lit(0)), "depth0")
+    out = frontier
+    for d in range(1, depth + 1):
+        near = [pairs.join(frontier.select(F.col("file").alias(a)), a, "left_semi").select(F.col(b).alias("file")) for a, b in (("a", "b"), ("b", "a"))]
+        new = near[0].unionByName(near[1]).distinct().join(out.select("file"), "file", "left_anti")
+        frontier = st.cut(new.withColumn("depth", F.lit(d)), f"depth{d}")
+        if frontier.isEmpty():
+            break
+        out = out.unionByName(frontier)
+    return out

@@ -179,3 +179,22 @@ def test_strategies_of_resolution(spark):
     assert order("c3") == ["d", "b", "c", "a"] and order("first-wins") == ["d", "b", "a", "c"] and order("single") == ["d", "b", "a"] and order("none") == ["d"]
     with pytest.raises(KeyError):
         LZ.linearise(links, strategy="other")
+
+
+def test_closure_walks_all_changed_files_as_one_set(spark, monkeypatch):
+    rows = []
+
+    def counted(self, df, name, by=None, cut=Staging.cut):
+        out = cut(self, df, name, by)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(Staging, "cut", counted)
+    # 100 changed files import one hub, so each reaches all others in two steps: 10,000 pairs, 103 files
+    pairs = [(f"t{i}", "hub") for i in range(100)] + [("hub", "far"), ("far", "beyond"), ("t0", "t0"), ("t1", None), ("x", "t1")]
+    e = edges_df(spark, pairs, "IMPORTS")
+    changed = spark.createDataFrame([(f"t{i}",) for i in range(100)] + [("t0",), ("alone",)], "file string")
+    got = {r.file: r.depth for r in TR.closure(e, changed, 2).collect()}
+    assert got == {f"t{i}": 0 for i in range(100)} | {"alone": 0, "hub": 1, "x": 1, "far": 2}
+    assert sum(rows) < 500
+    assert {r.file for r in TR.closure(e, changed, 0).collect()} == {f"t{i}" for i in range(100)} | {"alone"}
